@@ -47,12 +47,16 @@ def _upto(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["b"], _powers["i"]
 
 
-def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[starts[i]:ends[i]]; equal bytes have equal hashes wherever they stand."""
-    up, down = _upto(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
+class Hasher:
+    """64-bit hashes of any spans of ``data``; equal bytes have equal hashes wherever they stand."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        up, self.down = _upto(len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, U)
+        np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(U))
 
 
 def text_blocks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -69,14 +73,12 @@ def text_blocks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int,
         a = b
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray, words: bool, fold: bool, punct: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, row offsets) of the tokens of a block.
+def token_spans(data: np.ndarray, offsets: np.ndarray, words: bool = True, punct: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, row offsets) of the tokens of a block; they never cross rows.
 
     ``words``: runs without white space; else runs of bytes of one class (digits, capitals, other letters,
-    punctuation, which ``punct=False`` leaves out).  ``fold``: A-Z are lower-cased first.  Tokens never cross rows.
+    punctuation, which ``punct=False`` leaves out).
     """
-    if fold:
-        data = FOLD[data]
     kind = CLASS[data]
     if words:
         kind = (kind != SPACE).astype(np.uint8)
@@ -89,7 +91,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray, words: bool, fold: bool, punct
     if not punct:
         real &= kind[starts] != PUNCT
     starts, ends = starts[real], ends[real]
-    return spans_hash(data, starts, ends), np.searchsorted(starts, offsets)
+    return starts, ends, np.searchsorted(starts, offsets)
 
 
 def row_of(offsets: np.ndarray) -> np.ndarray:

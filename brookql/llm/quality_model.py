@@ -3,7 +3,7 @@
 Every token (a run of letters of one case, digits or punctuation) is hashed to one of ``VOCAB`` buckets, and each
 bucket has a fixed sparse index vector of +1 and -1.  A token's word vector is the sum of the index vectors of its neighbours
 over the whole corpus; the sums are integers, so they don't depend on the order of tasks.  A document is the mean of
-its tokens' (normalised) word vectors.  The network is trained on a bounded sample of labelled rows, and a temperature, fitted
+its tokens' (normalised) word vectors, and the share of tokens that say the one before again.  The network is trained on a bounded sample of labelled rows, and a temperature, fitted
 on a part held out of that sample, calibrates its probabilities.
 """
 
@@ -36,8 +36,8 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 
 def _blocks(column: pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     for a, b, data, offsets in bn.text_blocks(column):
-        hashes, rows = bn.tokens(data, offsets, words=False, fold=False)
-        yield a, b, (hashes % np.uint64(VOCAB)).astype(np.int64), rows
+        starts, ends, rows = bn.token_spans(data, offsets, words=False)
+        yield a, b, (bn.Hasher(data)(starts, ends) % np.uint64(VOCAB)).astype(np.int64), rows
 
 
 def word_sums(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -83,12 +83,16 @@ def word_vectors(sums: np.ndarray) -> np.ndarray:
 
 
 def pooled(column: pa.ChunkedArray, vectors: np.ndarray) -> np.ndarray:
-    """The mean word vector of each text; zeros for a text without tokens."""
-    out = np.zeros((len(column), DIM))
+    """The mean word vector of each text, then the share of its tokens that repeat the one before; zeros without tokens."""
+    out = np.zeros((len(column), DIM + 1))
     for a, b, ids, rows in _blocks(column):
         full = np.flatnonzero(np.diff(rows))
         if len(full):
-            out[a + full] = np.add.reduceat(vectors[ids], rows[:-1][full], axis=0, dtype=np.float64) / np.diff(rows)[full, None]
+            same = np.r_[False, ids[1:] == ids[:-1]]
+            same[rows[:-1][full]] = False
+            out[a + full, :DIM] = np.add.reduceat(vectors[ids], rows[:-1][full], axis=0, dtype=np.float64)
+            out[a + full, DIM] = np.add.reduceat(same, rows[:-1][full], dtype=np.float64)
+            out[a + full] /= np.diff(rows)[full, None]
     return out
 
 
@@ -146,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     chosen = F.broadcast(label_sample(labels, label, sample, folds, held_out))
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("y", "text").mapInArrow(features, "y int, x array<double>").collect()
     rows = sorted((r[0], r[1]) for r in rows)
-    return vectors, Network(np.array([r[1] for r in rows]).reshape(len(rows), DIM), np.array([r[0] for r in rows], int))
+    return vectors, Network(np.array([r[1] for r in rows]).reshape(len(rows), DIM + 1), np.array([r[0] for r in rows], int))
 
 
 def score(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, url_filters
+from . import chat_format, mixing, quality_model, quality_rules, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
+    "op2_quality_model": quality_model.op2_quality_model,
+    "op4_chat_format": chat_format.op4_chat_format,
     "op5_mixing": mixing.op5_mixing,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLE_SQL = {
     "op1_url_filters": url_filters.SQL,
+    "op4_chat_format": chat_format.SQL,
     "op5_mixing": mixing.SQL,
 }

@@ -1,7 +1,7 @@
 """Toxicity: a convolutional text classifier in numpy, with thresholds calibrated by language.
 
-Tokens (runs of letters or of digits, A-Z lower-cased) have embeddings in two hashed tables, so that two words rarely share
-both.  Filters one, two and three tokens wide run over a whole text, each keeps its largest value, and a logistic layer
+Tokens (runs of letters or of digits, A-Z lower-cased) have embeddings in three hashed tables, by the whole token and by
+its first six and four bytes, so that two words rarely share all and words of one stem share some.  Filters one, two and three tokens wide run over a whole text, each keeps its largest value, and a logistic layer
 weighs them.  The first column of each table starts from the shrunk log-odds of its bucket, the rest from small noise; all
 is then trained by Adagrad through the windows that won.  The language is guessed from the text's own function
 words; each language has a threshold, fitted on rows held out of the sample, that the score puts at one half.
@@ -20,7 +20,9 @@ from . import bytes_np as bn
 from .shared import crc_mod, label_sample, table
 
 BITS, HALF, FILTERS, WIDTHS = 15, 8, 8, (1, 2, 3)
-BUCKETS, DIM, PAD = 1 << BITS, 2 * HALF, 1 << BITS
+STEMS = (None, 6, 4)
+TABLES = len(STEMS)
+BUCKETS, DIM, PAD = 1 << BITS, TABLES * HALF, 1 << BITS
 #: Labelled rows that are learned from, at most.
 SAMPLE = 4_000
 EPOCHS, BATCH, RATE = 6, 32, 0.05
@@ -38,7 +40,7 @@ FUNCTION_WORDS = (
 def word_hashes(words: list[str]) -> np.ndarray:
     data = [np.frombuffer(w.encode(), np.uint8) for w in words]
     ends = np.cumsum([len(d) for d in data])
-    return bn.spans_hash(np.concatenate(data), ends - np.array([len(d) for d in data]), ends)
+    return bn.Hasher(np.concatenate(data))(ends - np.array([len(d) for d in data]), ends)
 
 
 def language_codes() -> np.ndarray:
@@ -50,23 +52,24 @@ def language_codes() -> np.ndarray:
     return codes
 
 
-def encode(column: pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, end row, buckets in either table, row offsets): each text as one PAD, its tokens and two PADs."""
+def encode(column: pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, TABLES x n buckets, row offsets): each text as one PAD, its tokens and two PADs."""
     for a, b, data, offsets in bn.text_blocks(column):
-        hashes, rows = bn.tokens(data, offsets, words=False, fold=True, punct=False)
-        at = np.arange(len(hashes)) + 3 * bn.row_of(rows) + 1
+        data = bn.FOLD[data]
+        begin, end, rows = bn.token_spans(data, offsets, words=False, punct=False)
+        hasher = bn.Hasher(data)
+        at = np.arange(len(begin)) + 3 * bn.row_of(rows) + 1
         starts = rows + 3 * np.arange(len(rows))
-        one = np.full(starts[-1], PAD, np.int64)
-        two = one.copy()
-        one[at] = hashes & np.uint64(BUCKETS - 1)
-        two[at] = (hashes >> np.uint64(32)) & np.uint64(BUCKETS - 1)
-        yield a, b, one, two, starts
+        ids = np.full((TABLES, starts[-1]), PAD, np.int64)
+        for t, stem in enumerate(STEMS):
+            ids[t, at] = hasher(begin, end if stem is None else np.minimum(end, begin + stem)) >> np.uint64(20 * t) & np.uint64(BUCKETS - 1)
+        yield a, b, ids, starts
 
 
 class Model:
     """Parameters; ``prior`` alone if there was nothing to learn from."""
 
-    def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> None:
+    def __init__(self, docs: list[np.ndarray], y: np.ndarray) -> None:
         self.codes, self.prior = language_codes(), None
         if len(y) < 20 or len(set(y.tolist())) < 2:
             self.prior = float(y.mean()) if len(y) else 0.5
@@ -74,13 +77,13 @@ class Model:
         rng = np.random.default_rng(11)
         order = rng.permutation(len(y))
         held, used = order[: len(y) // 4], order[len(y) // 4 :]
-        self.e = [rng.normal(0, 0.02, (BUCKETS + 1, HALF)) for _ in range(2)]
-        for t in range(2):
+        self.e = [rng.normal(0, 0.02, (BUCKETS + 1, HALF)) for _ in range(TABLES)]
+        for t in range(TABLES):
             self.e[t][:BUCKETS, 0] = self._log_odds([docs[i][t] for i in used], y[used])
             self.e[t][PAD] = 0
         self.w = [rng.normal(0, 0.05, (width, DIM, FILTERS)) for width in WIDTHS]
         for w in self.w:
-            w[:, [0, HALF], : FILTERS // 2] += 1.0 / len(w)
+            w[:, ::HALF, : FILTERS // 2] += 1.0 / len(w)
         self.v, self.c = np.concatenate([np.r_[np.ones(FILTERS // 2), np.zeros(FILTERS // 2)] for _ in WIDTHS]) + rng.normal(0, 0.05, len(WIDTHS) * FILTERS), np.zeros(1)
         self._train([docs[i] for i in used], y[used].astype(float), rng)
         self.thresholds = np.zeros(len(FUNCTION_WORDS) + 1)
@@ -96,15 +99,15 @@ class Model:
         seen = have.sum(0)
         return ((np.log(rate[1]) - np.log(rate[0])) * seen / (seen + 20))[:BUCKETS] / 4
 
-    def _maxima(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _maxima(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Largest filter values of each text, where they stand, and the joined buckets."""
-        one, two = np.concatenate([d[0] for d in docs]), np.concatenate([d[1] for d in docs])
-        starts = np.r_[0, np.cumsum([len(d[0]) for d in docs])]
-        x = np.concatenate([self.e[0][one], self.e[1][two]], 1)
-        n = len(one) - 2
+        ids = np.concatenate(docs, 1)
+        starts = np.r_[0, np.cumsum([d.shape[1] for d in docs])]
+        x = np.concatenate([e[i] for e, i in zip(self.e, ids)], 1)
+        n = ids.shape[1] - 2
         y = np.concatenate([sum(x[k : k + n] @ w[k] for k in range(len(w))) for w in self.w], 1)
         where = np.array([a + y[a : b - 2].argmax(0) for a, b in zip(starts[:-1], starts[1:])])
-        return y[where, np.arange(y.shape[1])], where, one, two
+        return y[where, np.arange(y.shape[1])], where, ids
 
     def _train(self, docs: list, y: np.ndarray, rng: np.random.Generator) -> None:
         seen_e, seen_w = [np.full(e.shape, 1e-6) for e in self.e], [np.full(w.shape, 1e-6) for w in self.w]
@@ -113,7 +116,7 @@ class Model:
             order = rng.permutation(len(y))
             for k in range(0, len(y), BATCH):
                 mine = order[k : k + BATCH]
-                top, where, one, two = self._maxima([docs[i] for i in mine])
+                top, where, ids = self._maxima([docs[i] for i in mine])
                 f = np.maximum(top, 0)
                 error = (1 / (1 + np.exp(-np.clip(f @ self.v + self.c, -30, 30))) - y[mine]) / len(mine)
                 back = np.outer(error, self.v) * (top > 0)
@@ -122,22 +125,22 @@ class Model:
                 self.v -= RATE * g / np.sqrt(seen_v)
                 seen_c += error.sum() ** 2
                 self.c -= RATE * error.sum() / np.sqrt(seen_c)
-                rows, grads = [[], []], [[], []]
+                rows, grads = [[] for _ in self.e], [[] for _ in self.e]
                 for j, w in enumerate(self.w):
                     cols = slice(j * FILTERS, (j + 1) * FILTERS)
                     b, at = back[:, cols], where[:, cols]
                     gw = np.zeros(w.shape)
                     for tap in range(len(w)):
-                        i1, i2 = one[at + tap], two[at + tap]  # texts x filters
-                        x = np.concatenate([self.e[0][i1], self.e[1][i2]], 2)
+                        here = ids[:, at + tap]  # tables x texts x filters
+                        x = np.concatenate([e[i] for e, i in zip(self.e, here)], 2)
                         gw[tap] = np.einsum("bfd,bf->df", x, b)
                         gx = b[:, :, None] * w[tap].T[None]
-                        for t, i in enumerate((i1, i2)):
+                        for t, i in enumerate(here):
                             rows[t].append(i.ravel())
                             grads[t].append(gx[:, :, t * HALF : (t + 1) * HALF].reshape(-1, HALF))
                     seen_w[j] += gw * gw
                     self.w[j] = w - RATE * gw / np.sqrt(seen_w[j])
-                for t in range(2):
+                for t in range(TABLES):
                     r, back_to = np.unique(np.concatenate(rows[t]), return_inverse=True)
                     ge = np.zeros((len(r), HALF))
                     np.add.at(ge, back_to, np.concatenate(grads[t]))
@@ -147,7 +150,7 @@ class Model:
 
     def _calibrate(self, docs: list, y: np.ndarray) -> None:
         z = np.concatenate([np.maximum(self._maxima([d])[0], 0) @ self.v + self.c for d in docs])
-        lang = np.array([self.language(d[0], np.array([0, len(d[0])]))[0] for d in docs])
+        lang = np.array([self.language(d[0], np.array([0, d.shape[1]]))[0] for d in docs])
 
         def cut(z: np.ndarray, y: np.ndarray) -> float:
             order = np.argsort(z, kind="stable")
@@ -174,7 +177,7 @@ class Model:
         """With each bucket's part of every filter worked out, for scoring."""
         if self.prior is None:
             flat = np.concatenate([w[k] for w in self.w for k in range(len(w))], 1)  # DIM x (taps * FILTERS)
-            self.parts = [(self.e[0] @ flat[:HALF]).astype(np.float32), (self.e[1] @ flat[HALF:]).astype(np.float32)]
+            self.parts = [(e @ flat[t * HALF : (t + 1) * HALF]).astype(np.float32) for t, e in enumerate(self.e)]
             del self.e
         return self
 
@@ -182,11 +185,12 @@ class Model:
         out = np.full(len(column), self.prior if self.prior is not None else 0.0)
         if self.prior is not None:
             return out
-        for a, b, one, two, starts in encode(column):
+        for a, b, ids, starts in encode(column):
             top = np.full((b - a, len(WIDTHS) * FILTERS), -np.inf, np.float32)
             for c, d in _runs(starts):
-                x = self.parts[0][one[starts[c] : starts[d]]]
-                x += self.parts[1][two[starts[c] : starts[d]]]
+                x = self.parts[0][ids[0, starts[c] : starts[d]]]
+                for t in range(1, TABLES):
+                    x += self.parts[t][ids[t, starts[c] : starts[d]]]
                 n, tap = len(x) - 2, 0
                 for j, width in enumerate(WIDTHS):
                     y = x[:n, tap * FILTERS : (tap + 1) * FILTERS].copy()
@@ -196,7 +200,7 @@ class Model:
                     last = (starts[c + 1 : d + 1] - starts[c])[:, None] - np.array([2, 1])
                     y[last[last < n]] = -np.inf
                     top[c:d, j * FILTERS : (j + 1) * FILTERS] = np.maximum.reduceat(y, starts[c:d] - starts[c], axis=0)
-            z = np.maximum(top, 0) @ self.v + self.c - self.thresholds[self.language(one, starts)]
+            z = np.maximum(top, 0) @ self.v + self.c - self.thresholds[self.language(ids[0], starts)]
             out[a:b] = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
         return out
 
@@ -215,17 +219,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ones, twos = [], []
-            for _, _, one, two, starts in encode(batch.column(1)):
-                ones += [one[i:j].astype(np.uint16).tobytes() for i, j in zip(starts[:-1], starts[1:])]
-                twos += [two[i:j].astype(np.uint16).tobytes() for i, j in zip(starts[:-1], starts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ones, pa.binary()), pa.array(twos, pa.binary())], ["y", "one", "two"])
+            found = []
+            for _, _, ids, starts in encode(batch.column(1)):
+                found += [ids[:, i:j].astype(np.uint16).tobytes() for i, j in zip(starts[:-1], starts[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["y", "ids"])
 
     chosen = F.broadcast(label_sample(labels, label, sample, folds, held_out))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("y", "text").mapInArrow(run, "y int, one binary, two binary").collect()
-    rows = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in rows)
-    texts = [(np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(b, np.uint16).astype(np.int64)) for _, a, b in rows]
-    return Model(texts, np.array([r[0] for r in rows], int))
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("y", "text").mapInArrow(run, "y int, ids binary").collect()
+    rows = sorted((r[0], bytes(r[1])) for r in rows)
+    return Model([np.frombuffer(x, np.uint16).astype(np.int64).reshape(TABLES, -1) for _, x in rows], np.array([r[0] for r in rows], int))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
