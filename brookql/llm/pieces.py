@@ -25,7 +25,7 @@ from .suffix_array import suffix_array
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Units whose encoding is remembered; beyond, the memory is emptied.
-KNOWN = 400_000
+KNOWN = 1_000_000
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -48,6 +48,7 @@ class Vocabulary:
         self.id = {self.pieces[i]: i for i in order}
         self.splits: dict[int, tuple[int, int] | None] = {}
         self.known: dict[str, list[int]] = {}
+        self.pairs: dict[int, bool] = {}
         self.plain = sorted(order, key=lambda i: self.pieces[i].encode())
         text = [self.pieces[i].encode() for i in self.plain]
         self.length = np.array([len(t) for t in text])
@@ -75,6 +76,14 @@ class Vocabulary:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether ``a`` and ``b`` stand side by side in the encoding of their joined text."""
+        key = a << 20 | b
+        if key not in self.pairs:
+            if len(self.pairs) > KNOWN:
+                self.pairs.clear()
+            self.pairs[key] = self._compatible(a, b)
+        return self.pairs[key]
+
+    def _compatible(self, a: int, b: int) -> bool:
         limit = len(self.rank)  # ranks of merges that come before either side is undone
         while True:
             j = self.merged(a, b)
@@ -85,7 +94,7 @@ class Vocabulary:
             ra, rb = self.rank[a] if sa else -1, self.rank[b] if sb else -1
             if ra < 0 and rb < 0:
                 return True
-            if ra > rb or (ra == rb and False):
+            if ra > rb:
                 limit, a = ra, sa[1]
             else:
                 limit, b = rb + 1, sb[0]
@@ -128,7 +137,7 @@ class Vocabulary:
         ids, ends = np.array(self.plain)[piece].tolist(), (start + self.length[piece]).tolist()
         begin = np.r_[0, np.cumsum([len(r) + 1 for r in raw])]
         first = np.searchsorted(start, begin).tolist()
-        start, begin = start.tolist(), begin.tolist()
+        start, begin, pairs = start.tolist(), begin.tolist(), self.pairs
         for k, r in enumerate(raw):
             off, n = begin[k], len(r)
             last: list[int | None] = [None] * (n + 1)  # the piece that ends at a place; -1 for the beginning, -2 for bytes
@@ -146,7 +155,7 @@ class Vocabulary:
                 while e < stop and start[e] == off + at:
                     to = ends[e] - off
                     known |= to - at == alone
-                    if last[to] is None and (here < 0 or self.compatible(here, ids[e])):
+                    if last[to] is None and (here < 0 or (self.compatible(here, ids[e]) if (fits := pairs.get(here << 20 | ids[e])) is None else fits)):
                         last[to], came[to] = ids[e], at
                     e += 1
                 if not known and last[at + alone] is None:
