@@ -26,7 +26,7 @@ from .shared import materialise, table
 #: Vectors that centroids are fitted on, at most.
 SAMPLE = 20_000
 #: Vectors a list has on average, lists at most, and the share of the lists (and the least number) that a query scans.
-PER_LIST, MAX_LISTS, PROBE_SHARE, MIN_PROBES = 400, 4096, 0.6, 16
+PER_LIST, MAX_LISTS, PROBE_SHARE, MIN_PROBES = 400, 4096, 0.75, 16
 BLOCK_ROWS, COLUMNS = 8192, 16
 #: The test gives a candidate up if its partial distance, scaled up, is over the limit by the factor (1 + EPSILON / sqrt(d))**2.
 EPSILON = 2.1
