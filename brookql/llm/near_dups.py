@@ -126,10 +126,10 @@ def _first_slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(tree of each, parent of each or -1): breadth first, from members with many neighbours."""
+    """(tree of each, parent of each or -1): breadth first from the first members, so that other groups of the same members find the same edges."""
     n = len(near)
-    tree, parent, todo = np.full(n, -1), np.full(n, -1), np.argsort(-near.sum(1), kind="stable")
-    for root in todo:
+    tree, parent = np.full(n, -1), np.full(n, -1)
+    for root in range(n):
         if tree[root] >= 0:
             continue
         tree[root], front = root, np.array([root])
@@ -174,7 +174,7 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
     lowest = threshold - SIGMAS * float(np.sqrt(threshold * (1 - threshold) / K))
     k = keys(classes)
     shared = k.groupBy("key", "slot").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "slot", (F.floor((F.col("m") - 1) / BLOCK) + 1).cast("int").alias("nb"))
-    k = k.join(shared, ["key", "slot"])
+    k = k.join(shared.hint("merge"), ["key", "slot"])  # the same plan at every size
     mine = F.pmod(F.xxhash64("id", F.lit(5)), F.col("nb")).cast("int")
     k = k.withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     k = k.select("key", "slot", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -219,7 +219,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     """The pairs whose full sets have 100 * intersection >= percent * union."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = materialise(texts.join(need, "id"))
+    texts = materialise(texts.join(need.hint("merge"), "id"))  # the same plan at every size
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
