@@ -7,8 +7,8 @@ is entered under each of the keys that leave one of its symbols out, and every s
 0.8 a pair misses all chunks with probability 0.18 ** CHUNKS, about 6e-6.
 
 What meets under a key is not expanded into all pairs.  Estimates from the signatures join strongly similar members by two
-spanning forests; only pairs between different trees, above the lowest estimate that a link can have, come besides.  Each
-pair is confirmed on both whole texts.  Keys with many members are cut into blocks, and each two blocks are a group.
+spanning forests, and probable links by a third.  These pairs are confirmed on both whole texts first; all other pairs
+above the lowest estimate that a link can have follow, where the links found so far leave their ends apart.  Keys with many members are cut into blocks, and each two blocks are a group.
 Components of confirmed links are found by alternating large and small stars.
 """
 
@@ -141,12 +141,12 @@ def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tree, parent
 
 
-def bucket_pairs(wide: np.ndarray, more: np.ndarray, block: np.ndarray, slot: int, lowest: float) -> np.ndarray:
-    """Places (n x 2) of the pairs of one group that are worth confirming."""
+def bucket_pairs(wide: np.ndarray, more: np.ndarray, block: np.ndarray, slot: int, lowest: float, threshold: float) -> np.ndarray:
+    """Rows (place, place, turn) of the pairs of one group: turn 0 to be confirmed first, turn 1 if that leaves both apart."""
     n = len(wide)
     if n == 2:
         share = ((wide[0] == wide[1]).sum() + (more[0] == more[1]).sum()) / K
-        return np.array([[0, 1]]) if share >= lowest and _first_slot(wide[:1], wide[1:])[0] == slot else np.zeros((0, 2), int)
+        return np.array([[0, 1, 0]]) if share >= lowest and _first_slot(wide[:1], wide[1:])[0] == slot else np.zeros((0, 3), int)
     share = np.zeros((n, n), np.float32)
     for a in range(0, n, 32):
         share[a : a + 32] = (wide[a : a + 32, None] == wide[None]).sum(2) + (more[a : a + 32, None] == more[None]).sum(2)
@@ -155,22 +155,25 @@ def bucket_pairs(wide: np.ndarray, more: np.ndarray, block: np.ndarray, slot: in
     strong = share >= STRONG
     tree, parent = _forest(strong)
     child = np.flatnonzero(parent >= 0)
-    out = [np.stack([child, parent[child]], 1)]
+    out = [(child, parent[child], 0)]
     strong[child, parent[child]] = strong[parent[child], child] = False
     _, parent = _forest(strong)
     child = np.flatnonzero(parent >= 0)
-    out.append(np.stack([child, parent[child]], 1))
+    out.append((child, parent[child], 0))
+    _, parent = _forest(share >= threshold)
+    child = np.flatnonzero(parent >= 0)
+    out.append((child, parent[child], 0))
     a, b = np.nonzero(np.triu((share >= lowest) & (tree[:, None] != tree[None]), 1))
     if block.max() > block.min():  # members of one block meet in the group of that block alone
         apart = block[a] != block[b]
         a, b = a[apart], b[apart]
     first = _first_slot(wide[a], wide[b]) == slot if len(a) else np.zeros(0, bool)
-    out.append(np.stack([a[first], b[first]], 1))
-    return np.concatenate(out)
+    out.append((a[first], b[first], 1))
+    return np.concatenate([np.stack([a, b, np.full(len(a), turn)], 1) for a, b, turn in out])
 
 
 def candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of class ids to be confirmed."""
+    """Distinct pairs (a, b, turn), a < b, of class ids to be confirmed."""
     lowest = threshold - SIGMAS * float(np.sqrt(threshold * (1 - threshold) / K))
     k = keys(classes)
     shared = k.groupBy("key", "slot").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "slot", (F.floor((F.col("m") - 1) / BLOCK) + 1).cast("int").alias("nb"))
@@ -189,12 +192,13 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
             cut = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in key], axis=0), True])
             ids, block = t.column("id").to_numpy(), t.column("block").to_numpy()
             wide, more = _unpack(t.column("sig").combine_chunks())
-            found = [np.zeros((0, 2), np.int64)]
+            found = [np.zeros((0, 3), np.int64)]
             for a, b in zip(cut[:-1], cut[1:]):
                 if b - a > 1:
-                    found.append(ids[a + bucket_pairs(wide[a:b], more[a:b], block[a:b], key[1][a], lowest)])
-            pairs = np.unique(np.sort(np.concatenate(found), 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                    places = bucket_pairs(wide[a:b], more[a:b], block[a:b], key[1][a], lowest, threshold)
+                    found.append(np.concatenate([np.sort(ids[a + places[:, :2]], 1), places[:, 2:]], 1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(3)], ["a", "b", "turn"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -212,7 +216,7 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
         if held is not None and len(held):
             yield from work(held)
 
-    return k.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return k.mapInArrow(run, "a long, b long, turn long").where("a <> b").groupBy("a", "b").agg(F.min("turn").alias("turn"))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -265,10 +269,15 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     named = base.where("n > 0 and doc_id is not null")
     classes = materialise(named.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")))
     pairs = materialise(candidates(classes, percent / 100))
-    edges = confirm(pairs, docs, width, percent)
+    edges = confirm(pairs.where("turn = 0").select("a", "b"), docs, width, percent)
     repeated = named.select("doc_id", "f1", "f2", "n").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id")
     own = named.join(repeated, "doc_id").join(classes.drop("sig"), ["f1", "f2", "n"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     found = components(edges.union(own))
+    # the other pairs matter only where these links leave both ends apart
+    end = lambda x: found.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
+    rest = pairs.where("turn = 1").join(end("a"), "a", "left").join(end("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    more = confirm(materialise(rest), docs, width, percent)
+    found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     of_class = classes.select("f1", "f2", "n", "id").join(found, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component_id"))
     out = base.select("doc_id", "n", "f1", "f2").join(of_class, ["f1", "f2", "n"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
