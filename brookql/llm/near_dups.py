@@ -7,8 +7,9 @@ is entered under each of the keys that leave one of its symbols out, and every s
 0.8 a pair misses all chunks with probability 0.18 ** CHUNKS, about 6e-6.
 
 What meets under a key is not expanded into all pairs.  Estimates from the signatures join strongly similar members by two
-spanning forests, and probable links by a third.  These pairs are confirmed on both whole texts first; all other pairs
-above the lowest estimate that a link can have follow, where the links found so far leave their ends apart.  Keys with many members are cut into blocks, and each two blocks are a group.
+spanning forests, and probable links by a third.  These pairs are confirmed on both whole texts first.  The keys are then
+gone through again with the components that these links make: whole texts of members that are still apart, at or above the
+lowest estimate that a link can have, meet under the key, where all these pairs are confirmed and a forest of the links is put out.  Keys with many members are cut into blocks, and each two blocks are a group.
 Components of confirmed links are found by alternating large and small stars.
 """
 
@@ -33,6 +34,8 @@ STRONG = 0.9
 SIGMAS = 4.5
 #: Members of a key that are compared within one group, at most twice as many.
 BLOCK = 2048
+#: Shingles in all of such members.
+BLOCK_SHINGLES = 4_000_000
 U = np.uint64
 _SEEDS = bn.mix(np.arange(1, K + 1, dtype=U) * U(0xD6E8FEB86659FD93))
 
@@ -141,82 +144,186 @@ def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tree, parent
 
 
-def bucket_pairs(wide: np.ndarray, more: np.ndarray, block: np.ndarray, slot: int, lowest: float, threshold: float) -> np.ndarray:
-    """Rows (place, place, turn) of the pairs of one group: turn 0 to be confirmed first, turn 1 if that leaves both apart."""
+def likely_pairs(wide: np.ndarray, more: np.ndarray, slot: int, lowest: float, threshold: float) -> np.ndarray:
+    """Rows (place, place) of the spanning pairs of one group; two members alone are a pair from the lowest estimate on."""
     n = len(wide)
     if n == 2:
         share = ((wide[0] == wide[1]).sum() + (more[0] == more[1]).sum()) / K
-        return np.array([[0, 1, 0]]) if share >= lowest and _first_slot(wide[:1], wide[1:])[0] == slot else np.zeros((0, 3), int)
-    share = np.zeros((n, n), np.float32)
-    for a in range(0, n, 32):
-        share[a : a + 32] = (wide[a : a + 32, None] == wide[None]).sum(2) + (more[a : a + 32, None] == more[None]).sum(2)
-    share /= K
+        return np.array([[0, 1]]) if share >= lowest and _first_slot(wide[:1], wide[1:])[0] == slot else np.zeros((0, 2), int)
+    share = _shares(wide, more, np.arange(n))
     np.fill_diagonal(share, 0)
     strong = share >= STRONG
-    tree, parent = _forest(strong)
-    child = np.flatnonzero(parent >= 0)
-    out = [(child, parent[child], 0)]
-    strong[child, parent[child]] = strong[parent[child], child] = False
-    _, parent = _forest(strong)
-    child = np.flatnonzero(parent >= 0)
-    out.append((child, parent[child], 0))
+    out = []
+    for _ in range(2):
+        _, parent = _forest(strong)
+        child = np.flatnonzero(parent >= 0)
+        out.append(np.stack([child, parent[child]], 1))
+        strong[child, parent[child]] = strong[parent[child], child] = False
     _, parent = _forest(share >= threshold)
     child = np.flatnonzero(parent >= 0)
-    out.append((child, parent[child], 0))
-    a, b = np.nonzero(np.triu((share >= lowest) & (tree[:, None] != tree[None]), 1))
+    out.append(np.stack([child, parent[child]], 1))
+    return np.concatenate(out)
+
+
+def open_pairs(wide: np.ndarray, more: np.ndarray, block: np.ndarray, component: np.ndarray, slot: int, lowest: float) -> np.ndarray:
+    """Rows (place, place) of all pairs of one group from the lowest estimate on whose ends lie in different components."""
+    names, place, size = np.unique(component, return_inverse=True, return_counts=True)
+    few = np.flatnonzero(place != size.argmax())
+    if not len(few):
+        return np.zeros((0, 2), int)
+    a, b = np.nonzero(_shares(wide, more, few) >= lowest)
+    a = few[a]
+    stay = (place[a] != place[b]) & ((place[b] == size.argmax()) | (a < b))
     if block.max() > block.min():  # members of one block meet in the group of that block alone
-        apart = block[a] != block[b]
-        a, b = a[apart], b[apart]
-    first = _first_slot(wide[a], wide[b]) == slot if len(a) else np.zeros(0, bool)
-    out.append((a[first], b[first], 1))
-    return np.concatenate([np.stack([a, b, np.full(len(a), turn)], 1) for a, b, turn in out])
+        stay &= block[a] != block[b]
+    a, b = a[stay], b[stay]
+    if not len(a):
+        return np.zeros((0, 2), int)
+    first = _first_slot(wide[a], wide[b]) == slot
+    return np.stack([a[first], b[first]], 1)
+
+
+def _shares(wide: np.ndarray, more: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The share of equal places of each of ``rows`` with each member."""
+    share = np.zeros((len(rows), len(wide)), np.float32)
+    for a in range(0, len(rows), 32):
+        at = rows[a : a + 32]
+        share[a : a + 32] = (wide[at, None] == wide[None]).sum(2) + (more[at, None] == more[None]).sum(2)
+    return share / K
 
 
-def candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b, turn), a < b, of class ids to be confirmed."""
-    lowest = threshold - SIGMAS * float(np.sqrt(threshold * (1 - threshold) / K))
+GROUP = ["key", "slot", "i", "j"]
+
+
+def members(classes: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """The members of each group (key, slot, i, j): id, block, sig, component; given the components ``found``, of groups with several alone."""
     k = keys(classes)
-    shared = k.groupBy("key", "slot").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "slot", (F.floor((F.col("m") - 1) / BLOCK) + 1).cast("int").alias("nb"))
-    k = k.join(shared.hint("merge"), ["key", "slot"])  # the same plan at every size
+    if found is None:
+        signed = classes.select("id", "sig", "n", F.col("id").alias("component"))
+    else:
+        of = found.select(F.col("id").alias("of"), "component")
+        signed = materialise(classes.join(of, F.col("id") == F.col("of"), "left").select("id", "sig", "n", F.coalesce("component", "id").alias("component")))
+    k = k.join(signed.select("id", "n", "component").hint("merge"), "id")  # the same plan at every size
+    size = k.groupBy("key", "slot").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"), (F.min("component") < F.max("component")).alias("open"))
+    size = size.where("m > 1" if found is None else "open").select("key", "slot", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("nb"))
+    k = k.select("key", "slot", "id").join(size.hint("merge"), ["key", "slot"])
     mine = F.pmod(F.xxhash64("id", F.lit(5)), F.col("nb")).cast("int")
     k = k.withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     k = k.select("key", "slot", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    k = k.join(classes.select("id", "sig"), "id").select("key", "slot", "i", "j", "id", "block", "sig")
-    k = k.repartition("key", "slot", "i", "j").sortWithinPartitions("key", "slot", "i", "j", "id")
+    return k.join(signed.drop("n"), "id").select(*GROUP, "id", "block", "sig", "component")
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "id")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, and where the groups begin and end."""
+
+    def cut(t: pa.Table) -> np.ndarray:
+        return np.flatnonzero(np.r_[True, np.any([(x := t.column(c).to_numpy())[1:] != x[:-1] for c in GROUP], axis=0), True])
+
+    held: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([held, t]) if held is not None else t
+        if not len(t):
+            continue
+        at = cut(t)
+        held = t.slice(int(at[-2]))
+        if len(at) > 2:
+            yield t.slice(0, int(at[-2])), at[:-1]
+    if held is not None and len(held):
+        yield held, np.array([0, len(held)])
+
+
+def lowest_share(threshold: float) -> float:
+    """The lowest estimate that a link can have."""
+    return threshold - SIGMAS * float(np.sqrt(threshold * (1 - threshold) / K))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
 
-        def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            key = [t.column(c).to_numpy() for c in ("key", "slot", "i", "j")]
-            cut = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in key], axis=0), True])
-            ids, block = t.column("id").to_numpy(), t.column("block").to_numpy()
+def spanning(classes: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of class ids that are likely to be links and span what is alike."""
+    lowest = lowest_share(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cut in _groups(batches):
+            ids, slot = t.column("id").to_numpy(), t.column("slot").to_numpy()
             wide, more = _unpack(t.column("sig").combine_chunks())
-            found = [np.zeros((0, 3), np.int64)]
+            pairs = [np.zeros((0, 2), np.int64)]
             for a, b in zip(cut[:-1], cut[1:]):
                 if b - a > 1:
-                    places = bucket_pairs(wide[a:b], more[a:b], block[a:b], key[1][a], lowest, threshold)
-                    found.append(np.concatenate([np.sort(ids[a + places[:, :2]], 1), places[:, 2:]], 1))
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(3)], ["a", "b", "turn"])
+                    pairs.append(np.sort(ids[a + likely_pairs(wide[a:b], more[a:b], slot[a], lowest, threshold)], 1))
+            pairs = np.unique(np.concatenate(pairs), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(2)], ["a", "b"])
 
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([held, t]) if held is not None else t
-            if not len(t):
-                continue
-            last = t.slice(len(t) - 1)
-            open_ = np.ones(len(t), bool)
-            for c in ("key", "slot", "i", "j"):
-                open_ &= t.column(c).to_numpy() == last.column(c).to_numpy()[0]
-            n = int(np.flatnonzero(open_)[0])
-            held = t.slice(n)
-            if n:
-                yield from work(t.slice(0, n))
-        if held is not None and len(held):
-            yield from work(held)
+    return _grouped(members(classes)).mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def open_links(classes: DataFrame, found: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components ``found`` wherever any link does.
+
+    A first pass over the signatures keeps the members of each group that have an open pair there; their whole texts go to
+    the group, which confirms the open pairs on full sets and puts out a spanning forest of the links: no row per pair.
+    """
+    lowest = lowest_share(percent / 100)
+    names = [*GROUP, "id", "block", "sig", "component"]
 
-    return k.mapInArrow(run, "a long, b long, turn long").where("a <> b").groupBy("a", "b").agg(F.min("turn").alias("turn"))
+    def involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cut in _groups(batches):
+            slot, block, component = (t.column(c).to_numpy() for c in ("slot", "block", "component"))
+            wide, more = _unpack(t.column("sig").combine_chunks())
+            stay = np.zeros(len(t), bool)
+            for a, b in zip(cut[:-1], cut[1:]):
+                stay[a + open_pairs(wide[a:b], more[a:b], block[a:b], component[a:b], slot[a], lowest).reshape(-1)] = True
+            yield from t.filter(pa.array(stay)).to_batches()
+
+    rows = _grouped(members(classes, found))
+    rows = materialise(rows.mapInArrow(involved, rows.schema))
+    need = rows.select(F.col("id").alias("need")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    texts = texts.join(need.hint("merge"), F.col("id") == F.col("need"), "left_semi")
+
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cut in _groups(batches):
+            for a, b in zip(cut[:-1], cut[1:]):
+                g = t.slice(int(a), int(b - a))
+                ids, block, component = (g.column(c).to_numpy() for c in ("id", "block", "component"))
+                wide, more = _unpack(g.column("sig").combine_chunks())
+                pairs = open_pairs(wide, more, block, component, g.column("slot")[0].as_py(), lowest)
+                links = group_links(list(shingles(g.column("text"), width)), pairs, component, percent) if len(pairs) else pairs
+                if len(links):
+                    links = np.sort(ids[links], 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(links[:, k]) for k in range(2)], ["a", "b"])
+
+    return _grouped(rows.join(texts, "id").select(*names, "text")).mapInArrow(confirmed, "a long, b long").where("a <> b").distinct()
+
+
+def group_links(sets: list[np.ndarray], pairs: np.ndarray, component: np.ndarray, percent: int) -> np.ndarray:
+    """A spanning forest, over components, of the ``pairs`` of one group that full sets confirm."""
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(s) for s in sets])
+    flat = np.split(flat, np.cumsum(size)[:-1])
+    tree = np.unique(component, return_inverse=True)[1]
+    has = np.zeros(len(values), bool)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    at = np.flatnonzero(np.r_[True, pairs[1:, 0] != pairs[:-1, 0], True])
+    out = []
+    for lo, hi in zip(at[:-1], at[1:]):
+        x, others = pairs[lo, 0], pairs[lo:hi, 1]
+        others = others[(tree[others] != tree[x]) & (100 * np.minimum(size[others], size[x]) >= percent * np.maximum(size[others], size[x])) & (size[others] > 0)]
+        if not len(others) or not size[x]:
+            continue
+        has[flat[x]] = True
+        for k in range(0, len(others), 256):
+            some = others[k : k + 256]
+            common = np.add.reduceat(has[np.concatenate([flat[y] for y in some])], np.r_[0, np.cumsum(size[some])[:-1]], dtype=np.int64)
+            for y in some[(common > 0) & (100 * common >= percent * (size[x] + size[some] - common))]:
+                if tree[x] != tree[y]:
+                    out.append((x, y))
+                    tree[tree == tree[y]] = tree[x]
+        has[flat[x]] = False
+    return np.array(out, int).reshape(-1, 2)
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -268,15 +375,11 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     base = materialise(profiles(docs, width))
     named = base.where("n > 0 and doc_id is not null")
     classes = materialise(named.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")))
-    pairs = materialise(candidates(classes, percent / 100))
-    edges = confirm(pairs.where("turn = 0").select("a", "b"), docs, width, percent)
+    edges = confirm(materialise(spanning(classes, percent / 100)), docs, width, percent)
     repeated = named.select("doc_id", "f1", "f2", "n").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id")
     own = named.join(repeated, "doc_id").join(classes.drop("sig"), ["f1", "f2", "n"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     found = components(edges.union(own))
-    # the other pairs matter only where these links leave both ends apart
-    end = lambda x: found.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
-    rest = pairs.where("turn = 1").join(end("a"), "a", "left").join(end("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = confirm(materialise(rest), docs, width, percent)
+    more = materialise(open_links(classes, found, docs, width, percent))
     found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     of_class = classes.select("f1", "f2", "n", "id").join(found, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component_id"))
     out = base.select("doc_id", "n", "f1", "f2").join(of_class, ["f1", "f2", "n"], "left")
