@@ -15,6 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +27,18 @@ from .suffix_array import suffix_array
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Units whose encoding is remembered; beyond, the memory is emptied.
-KNOWN = 1_000_000
+KNOWN = 700_000
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+#: Parts of a unit: where each piece lies inside one part, a merge never crosses two of them.
+_FINE = regex.compile(rf"{MARK}*\p{{L}}+|{MARK}*[^\p{{L}}0-9{MARK}]+|{MARK}+|[0-9]")
+#: Stands for a mark of the text itself; no unit has a space.
+OWN_MARK = " "
+#: In place of a piece that ends somewhere: nothing yet, the beginning, bytes of a character without a piece.
+NOWHERE, BEGIN, BYTES = -3, -1, -2
+#: Places of all units that are relaxed together.
+STEPS = 64
+#: Bytes of texts that are encoded at once.
+SLICE = 4 << 20
 
 
 class Vocabulary:
@@ -47,7 +59,8 @@ class Vocabulary:
         self.rank = {i: k for k, i in enumerate(order)}
         self.id = {self.pieces[i]: i for i in order}
         self.splits: dict[int, tuple[int, int] | None] = {}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.fine: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.plain = sorted(order, key=lambda i: self.pieces[i].encode())
         text = [self.pieces[i].encode() for i in self.plain]
@@ -55,7 +68,10 @@ class Vocabulary:
         self.table = np.zeros((len(text), int(self.length.max())), np.uint8)
         for k, t in enumerate(text):
             self.table[k, : len(t)] = np.frombuffer(t, np.uint8)
-        self.of_byte = {i: b for b, i in self.bytes.items()}
+        of_byte = {i: b for b, i in self.bytes.items()}
+        self.byte_table = np.array([self.bytes[b] for b in range(256)], np.int32)
+        self.raw = [bytes([of_byte[i]]) if i in of_byte else b"" if i in self.control else self.pieces[i].replace(MARK, " ").encode() for i in range(n)]
+        self.splits_finer = all(_FINE.fullmatch(p) for p in self.id)
 
     # --- merges ---------------------------------------------------------------------------------------------------
     def split(self, piece: int) -> tuple[int, int] | None:
@@ -130,48 +146,78 @@ class Vocabulary:
         return start[order], piece[order]
 
     def learn(self, units: list[str]) -> None:
-        """Encode units and remember them."""
+        """Encode units and remember them: all are relaxed at once, place by place; long ones, which would take many steps, follow."""
         raw = [u.encode() for u in units]
         data = np.frombuffer(b"\xff".join(raw) + b"\xff", np.uint8)
+        size = np.array([len(r) for r in raw])
+        begin = np.r_[0, np.cumsum(size + 1)][:-1]
         start, piece = self.edges(data)
-        ids, ends = np.array(self.plain)[piece].tolist(), (start + self.length[piece]).tolist()
-        begin = np.r_[0, np.cumsum([len(r) + 1 for r in raw])]
-        first = np.searchsorted(start, begin).tolist()
-        start, begin, pairs = start.tolist(), begin.tolist(), self.pairs
-        for k, r in enumerate(raw):
-            off, n = begin[k], len(r)
-            last: list[int | None] = [None] * (n + 1)  # the piece that ends at a place; -1 for the beginning, -2 for bytes
-            came = [0] * (n + 1)
-            last[0] = -1
-            e, stop = first[k], first[k + 1]
-            for at in range(n):
-                here = last[at]
-                if here is None:
-                    while e < stop and start[e] == off + at:
-                        e += 1
-                    continue
-                alone = 1 + (r[at] >= 0xC0) + (r[at] >= 0xE0) + (r[at] >= 0xF0)
-                known = False
-                while e < stop and start[e] == off + at:
-                    to = ends[e] - off
-                    known |= to - at == alone
-                    if last[to] is None and (here < 0 or (self.compatible(here, ids[e]) if (fits := pairs.get(here << 20 | ids[e])) is None else fits)):
-                        last[to], came[to] = ids[e], at
-                    e += 1
-                if not known and last[at + alone] is None:
-                    last[at + alone], came[at + alone] = -2, at
-            out: list[int] = []
-            at = n
-            while at:
-                if last[at] == -2:
-                    out += [self.bytes[b] for b in reversed(r[came[at] : at])]
-                else:
-                    out.append(last[at])
-                at = came[at]
-            self.known[units[k]] = out[::-1]
+        ids, end = np.array(self.plain)[piece], start + self.length[piece]
+        alone = 1 + (data >= 0xC0) + (data >= 0xE0) + (data >= 0xF0).astype(np.int64)
+        single = np.zeros(len(data), bool)
+        single[start[end - start == alone[start]]] = True
+        last = np.full(len(data), NOWHERE)  # the piece that ends at a place; a unit's own end is the separator behind it
+        came = np.zeros(len(data), np.int64)
+        last[begin] = BEGIN
+        off = start - np.repeat(begin, size + 1)[start]
+        order = np.argsort(off, kind="stable")
+        start, ids, end = start[order], ids[order], end[order]
+        cut = np.searchsorted(off[order], np.arange(STEPS + 1))
+        steps = int(min(STEPS, size.max(initial=0)))
+        unit = np.flatnonzero(size)
+        for k in range(steps):
+            e = np.arange(cut[k], cut[k + 1])
+            self._relax(start[e], ids[e], end[e], last, came)
+            unit = unit[size[unit] > k]
+            at = begin[unit] + k
+            self._fall_back(at[(last[at] != NOWHERE) & ~single[at]], alone, last, came)
+        rest = np.flatnonzero(off[order] >= STEPS)
+        rest = rest[np.argsort(start[rest], kind="stable")]
+        edge, ends = 0, (start[rest].tolist(), ids[rest].tolist(), end[rest].tolist())
+        for u in np.flatnonzero(size > STEPS).tolist():
+            for at in range(begin[u] + STEPS, begin[u] + size[u]):
+                here = int(last[at])
+                while edge < len(rest) and ends[0][edge] == at:
+                    i, to = ends[1][edge], ends[2][edge]
+                    if here != NOWHERE and last[to] == NOWHERE and (here < 0 or self.compatible(here, i)):
+                        last[to], came[to] = i, at
+                    edge += 1
+                if here != NOWHERE and not single[at] and last[at + alone[at]] == NOWHERE:
+                    last[at + alone[at]], came[at + alone[at]] = BYTES, at
+        # back from the ends, along the one path of each unit
+        on, at = np.zeros(len(data), bool), (begin + size)[size > 0]
+        while len(at):
+            on[at] = True
+            at = came[at]
+            at = at[last[at] != BEGIN]
+        at = np.flatnonzero(on)
+        count = np.where(last[at] == BYTES, at - came[at], 1)
+        out = np.repeat(last[at], count).astype(np.int32)
+        of = np.repeat(came[at] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(len(out))
+        out = np.where(out == BYTES, self.byte_table[data[np.minimum(of, len(data) - 1)]], out)
+        places = np.searchsorted(np.repeat(at, count), np.r_[begin, len(data)]).tolist()
+        packed = out.astype(np.int32).tobytes()
+        for u, a, b in zip(units, places[:-1], places[1:]):
+            self.fine[u] = packed[4 * a : 4 * b]
+
+    def _relax(self, start: np.ndarray, ids: np.ndarray, end: np.ndarray, last: np.ndarray, came: np.ndarray) -> None:
+        """Follow edges with different ends, where they fit the piece before them."""
+        go = np.flatnonzero((last[start] != NOWHERE) & (last[end] == NOWHERE))
+        here = last[start[go]]
+        keys, place = np.unique(np.where(here < 0, -1, here << 20 | ids[go]), return_inverse=True)
+        fits = np.array([k < 0 or self.compatible(k >> 20, k & 0xFFFFF) for k in keys.tolist()], bool)
+        go = go[fits[place]] if len(go) else go
+        last[end[go]], came[end[go]] = ids[go], start[go]
+
+    @staticmethod
+    def _fall_back(at: np.ndarray, alone: np.ndarray, last: np.ndarray, came: np.ndarray) -> None:
+        """Pass a character without a piece as bytes."""
+        to = at + alone[at]
+        new = last[to] == NOWHERE
+        last[to[new]], came[to[new]] = BYTES, at[new]
 
     # --- texts ----------------------------------------------------------------------------------------------------
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text.  A mark that the text itself holds is given as bytes, so decoding restores it."""
         parts = []
         for t in texts:
@@ -179,7 +225,7 @@ class Vocabulary:
                 runs = []
                 for k, piece in enumerate(t.split(MARK)):
                     if k:
-                        runs.append(None)
+                        runs.append(OWN_MARK)
                     if piece or not k:
                         runs += _UNIT.findall((MARK if not k else "") + piece.replace(" ", MARK))
                 parts.append(runs)
@@ -187,21 +233,26 @@ class Vocabulary:
                 parts.append(_UNIT.findall(MARK + t.replace(" ", MARK)) if t else [])
         if len(self.known) > KNOWN:
             self.known.clear()
-        new = list({u for p in parts for u in p if u is not None and u not in self.known})
-        for k in range(0, len(new), 50_000):
-            self.learn(new[k : k + 50_000])
-        own = [self.bytes[b] for b in MARK.encode()]
-        out = []
+        if len(self.fine) > KNOWN:
+            self.fine.clear()
+        self.known[OWN_MARK] = self.byte_table[list(MARK.encode())].tobytes()
+        new = set()
         for p in parts:
-            ids: list[int] = []
-            for u in p:
-                ids += own if u is None else self.known[u]
-            out.append(ids)
-        return out
+            new.update(p)
+        new -= self.known.keys()
+        pieces = {u: _FINE.findall(u) if self.splits_finer else [u] for u in new}
+        fine = list({f for p in pieces.values() for f in p}.difference(self.fine))
+        for k in range(0, len(fine), 100_000):
+            self.learn(fine[k : k + 100_000])
+        for u, p in pieces.items():
+            self.known[u] = b"".join([self.fine[f] for f in p])
+        of = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(of, p)), np.int32) for p in parts]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; broken bytes become U+FFFD."""
-        raw = b"".join(bytes([self.of_byte[i]]) if i in self.of_byte else b"" if i in self.control else self.pieces[i].replace(MARK, " ").encode() for i in ids)
+        of = self.raw.__getitem__
+        raw = b"".join(map(of, ids))
         return raw[1:].decode(errors="replace") if raw[:1] == b" " else raw.decode(errors="replace")
 
 
@@ -215,6 +266,16 @@ def vocabulary(path: str) -> Vocabulary:
     return _held[path]
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of rows with about SLICE bytes."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(total):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + SLICE, "right")))
+        yield a, b
+        a = b
+
+
 def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame:
     """All columns of ``docs`` but the text, with ``ids``, ``n_ids`` and ``round_trip`` (decoding gives the text back).
 
@@ -228,15 +289,14 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model if "/" in model else SparkFiles.get(model))
         for batch in batches:
-            for a in range(0, len(batch), 500):
-                part = batch.slice(a, 500)
+            for a, b in _slices(batch.column(text)):
+                part = batch.slice(a, b - a)
                 texts = [t or "" for t in part.column(text).to_pylist()]
                 ids = v.encode(texts)
-                same = [v.decode(i) == t for i, t in zip(ids, texts)]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in names), pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array(same, pa.bool_())],
-                    [*names, "ids", "n_ids", "round_trip"],
-                )
+                same = [v.decode(i.tolist()) == t for i, t in zip(ids, texts)]
+                n = np.array([len(i) for i in ids], np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), lists, pa.array(n), pa.array(same, pa.bool_())], [*names, "ids", "n_ids", "round_trip"])
 
     return docs.mapInArrow(run, schema)
 
