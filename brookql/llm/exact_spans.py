@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytes_np as bn
-from .shared import materialise, table
+from .shared import materialise, table, trimmed
 from .suffix_array import common_prefixes, find, suffix_array
 
 SIZE, GRAM = 200, 32
@@ -104,7 +104,7 @@ def find_runs(docs: DataFrame, size: int) -> DataFrame:
             spread = bn.mix(d1[row[settled]].view(U)).view(np.int64)
             yield _batch(_NAMES, spread, c[settled], n[settled], d1[row[settled]], d2[row[settled]], start[settled], end[settled])
 
-    return docs.select("d1", "d2", "text").mapInArrow(run, R)
+    return docs.select("d1", "d2", "text").mapInArrow(trimmed(run), R)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
@@ -145,7 +145,7 @@ def meet(found: DataFrame) -> DataFrame:
             one, twice = one[several], twice[several]
             yield _batch(_NAMES, h[one], c[one], np.where(twice, TWICE, ONCE), d1[one], d2[one], l[one], r[one])
 
-    return found.repartition("h").sortWithinPartitions("h", "c").mapInArrow(run, R)
+    return found.repartition("h").sortWithinPartitions("h", "c").mapInArrow(trimmed(run), R)
 
 
 def _cut(docs: DataFrame, asked: DataFrame, size: int) -> DataFrame:
@@ -166,7 +166,7 @@ def _cut(docs: DataFrame, asked: DataFrame, size: int) -> DataFrame:
                     out["b"].append(raw[x["l"] : x["r"] - 1 + size])
             yield pa.RecordBatch.from_arrays([pa.array(out["h"], pa.int64()), pa.array(out["n"], pa.int32()), pa.array(out["d1"], pa.int64()), pa.array(out["d2"], pa.int64()), pa.array(out["l"], pa.int32()), pa.array(out["r"], pa.int32()), pa.array(out["b"], pa.binary())], list(out))
 
-    return texts.join(per, ["d1", "d2"]).select("d1", "d2", "text", "runs").mapInArrow(run, "h long, n int, d1 long, d2 long, l int, r int, b binary")
+    return texts.join(per, ["d1", "d2"]).select("d1", "d2", "text", "runs").mapInArrow(trimmed(run), "h long, n int, d1 long, d2 long, l int, r int, b binary")
 
 
 def repeated_windows(texts: list[bytes], size: int, shard: int = SHARD) -> list[np.ndarray]:
@@ -230,7 +230,7 @@ def settle(asked: DataFrame, size: int) -> DataFrame:
         if held:
             yield work(pa.concat_tables(held))
 
-    return asked.repartition("h").sortWithinPartitions("h").mapInArrow(run, "d1 long, d2 long, l int, r int")
+    return asked.repartition("h").sortWithinPartitions("h").mapInArrow(trimmed(run), "d1 long, d2 long, l int, r int")
 
 
 def spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -283,7 +283,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
             own = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(many, pa.int64()), pa.array(sha, pa.string())], [*names, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(trimmed(run), schema)
 
 
 def op3_exact_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

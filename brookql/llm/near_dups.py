@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytes_np as bn
-from .shared import materialise, table
+from .shared import materialise, table, trimmed
 
 CHUNKS, WIDE = 7, 4
 SYMBOLS, MORE = CHUNKS * WIDE, 100
@@ -87,7 +87,7 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
                 sig.append(m[:SYMBOLS].astype(np.uint16).tobytes() + m[SYMBOLS:].astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n", "f1", "f2", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, n long, f1 long, f2 long, sig binary")
 
 
 def _unpack(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,7 +257,7 @@ def spanning(classes: DataFrame, threshold: float) -> DataFrame:
             pairs = np.unique(np.concatenate(pairs), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(2)], ["a", "b"])
 
-    return _grouped(members(classes)).mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return _grouped(members(classes)).mapInArrow(trimmed(run), "a long, b long").where("a <> b").distinct()
 
 
 def open_links(classes: DataFrame, found: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -279,7 +279,7 @@ def open_links(classes: DataFrame, found: DataFrame, docs: DataFrame, width: int
             yield from t.filter(pa.array(stay)).to_batches()
 
     rows = _grouped(members(classes, found))
-    rows = materialise(rows.mapInArrow(involved, rows.schema))
+    rows = materialise(rows.mapInArrow(trimmed(involved), rows.schema))
     need = rows.select(F.col("id").alias("need")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     texts = texts.join(need.hint("merge"), F.col("id") == F.col("need"), "left_semi")
@@ -296,7 +296,7 @@ def open_links(classes: DataFrame, found: DataFrame, docs: DataFrame, width: int
                     links = np.sort(ids[links], 1)
                     yield pa.RecordBatch.from_arrays([pa.array(links[:, k]) for k in range(2)], ["a", "b"])
 
-    return _grouped(rows.join(texts, "id").select(*names, "text")).mapInArrow(confirmed, "a long, b long").where("a <> b").distinct()
+    return _grouped(rows.join(texts, "id").select(*names, "text")).mapInArrow(trimmed(confirmed), "a long, b long").where("a <> b").distinct()
 
 
 def group_links(sets: list[np.ndarray], pairs: np.ndarray, component: np.ndarray, percent: int) -> np.ndarray:
@@ -342,7 +342,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
             mask = pa.array(stay, pa.bool_())
             yield pa.RecordBatch.from_arrays([pc.filter(batch.column(0), mask), pc.filter(batch.column(1), mask)], ["a", "b"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "ta", "tb").mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:

@@ -21,13 +21,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import table, trimmed
 from .suffix_array import suffix_array
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Units whose encoding is remembered; beyond, the memory is emptied.
-KNOWN = 700_000
+#: Units, and pairs of pieces, that are remembered; beyond, the memory is emptied.
+KNOWN = 400_000
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Parts of a unit: where each piece lies inside one part, a merge never crosses two of them.
 _FINE = regex.compile(rf"{MARK}*\p{{L}}+|{MARK}*[^\p{{L}}0-9{MARK}]+|{MARK}+|[0-9]")
@@ -61,7 +61,7 @@ class Vocabulary:
         self.splits: dict[int, tuple[int, int] | None] = {}
         self.known: dict[str, bytes] = {}
         self.fine: dict[str, bytes] = {}
-        self.pairs: dict[int, bool] = {}
+        self.pairs, self.pair_fits = np.array([np.iinfo(np.int64).max]), np.zeros(1, bool)
         self.plain = sorted(order, key=lambda i: self.pieces[i].encode())
         text = [self.pieces[i].encode() for i in self.plain]
         self.length = np.array([len(t) for t in text])
@@ -73,6 +73,11 @@ class Vocabulary:
         self.raw = [bytes([of_byte[i]]) if i in of_byte else b"" if i in self.control else self.pieces[i].replace(MARK, " ").encode() for i in range(n)]
         self.splits_finer = all(_FINE.fullmatch(p) for p in self.id)
 
+    def forget(self) -> None:
+        """Empty the memory of units; that of pairs, which is small, stays."""
+        self.known.clear()
+        self.fine.clear()
+
     # --- merges ---------------------------------------------------------------------------------------------------
     def split(self, piece: int) -> tuple[int, int] | None:
         """The two pieces whose merge makes a piece, None for one character."""
@@ -90,14 +95,23 @@ class Vocabulary:
     def merged(self, a: int, b: int) -> int | None:
         return self.id.get(self.pieces[a] + self.pieces[b]) if a >= 0 and b >= 0 else None
 
+    def fits(self, keys: np.ndarray) -> np.ndarray:
+        """``compatible`` of each pair ``a << 20 | b``; remembered in arrays, which leave no holes among the short-lived strings."""
+        place = np.searchsorted(self.pairs, keys)
+        new = np.flatnonzero(self.pairs[np.minimum(place, len(self.pairs) - 1)] != keys)
+        if len(new):
+            if len(self.pairs) > 1 and len(self.pairs) + len(new) > KNOWN:
+                self.pairs, self.pair_fits = self.pairs[-1:], self.pair_fits[-1:]
+                return self.fits(keys)
+            found = [self._compatible(k >> 20, k & 0xFFFFF) for k in keys[new].tolist()]
+            self.pairs = np.insert(self.pairs, place[new], keys[new])
+            self.pair_fits = np.insert(self.pair_fits, place[new], found)
+            place = np.searchsorted(self.pairs, keys)
+        return self.pair_fits[place]
+
     def compatible(self, a: int, b: int) -> bool:
         """Whether ``a`` and ``b`` stand side by side in the encoding of their joined text."""
-        key = a << 20 | b
-        if key not in self.pairs:
-            if len(self.pairs) > KNOWN:
-                self.pairs.clear()
-            self.pairs[key] = self._compatible(a, b)
-        return self.pairs[key]
+        return bool(self.fits(np.array([a << 20 | b]))[0])
 
     def _compatible(self, a: int, b: int) -> bool:
         limit = len(self.rank)  # ranks of merges that come before either side is undone
@@ -204,9 +218,11 @@ class Vocabulary:
         """Follow edges with different ends, where they fit the piece before them."""
         go = np.flatnonzero((last[start] != NOWHERE) & (last[end] == NOWHERE))
         here = last[start[go]]
-        keys, place = np.unique(np.where(here < 0, -1, here << 20 | ids[go]), return_inverse=True)
-        fits = np.array([k < 0 or self.compatible(k >> 20, k & 0xFFFFF) for k in keys.tolist()], bool)
-        go = go[fits[place]] if len(go) else go
+        inner = here >= 0
+        keys, place = np.unique(here[inner] << 20 | ids[go[inner]], return_inverse=True)
+        fits = ~inner
+        fits[inner] = self.fits(keys)[place]
+        go = go[fits]
         last[end[go]], came[end[go]] = ids[go], start[go]
 
     @staticmethod
@@ -288,17 +304,20 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model if "/" in model else SparkFiles.get(model))
-        for batch in batches:
-            for a, b in _slices(batch.column(text)):
-                part = batch.slice(a, b - a)
-                texts = [t or "" for t in part.column(text).to_pylist()]
-                ids = v.encode(texts)
-                same = [v.decode(i.tolist()) == t for i, t in zip(ids, texts)]
-                n = np.array([len(i) for i in ids], np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), lists, pa.array(n), pa.array(same, pa.bool_())], [*names, "ids", "n_ids", "round_trip"])
-
-    return docs.mapInArrow(run, schema)
+        try:
+            for batch in batches:
+                for a, b in _slices(batch.column(text)):
+                    part = batch.slice(a, b - a)
+                    texts = [t or "" for t in part.column(text).to_pylist()]
+                    ids = v.encode(texts)
+                    same = [v.decode(i.tolist()) == t for i, t in zip(ids, texts)]
+                    n = np.array([len(i) for i in ids], np.int64)
+                    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.concatenate(ids)))
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), lists, pa.array(n), pa.array(same, pa.bool_())], [*names, "ids", "n_ids", "round_trip"])
+        finally:  # the process lives on and runs other stages
+            v.forget()
+
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytes_np as bn
-from .shared import crc_mod, label_sample, table
+from .shared import crc_mod, label_sample, table, trimmed
 
 BITS, HALF, FILTERS, WIDTHS = 15, 8, 8, (1, 2, 3)
 STEMS = (None, 6, 4)
@@ -244,7 +244,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = shared.value.score(batch.column("text"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*batch.schema.names, "toxicity"])
 
-    return docs.mapInArrow(run, kind)
+    return docs.mapInArrow(trimmed(run), kind)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
