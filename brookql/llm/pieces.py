@@ -38,7 +38,9 @@ NOWHERE, BEGIN, BYTES = -3, -1, -2
 #: Places of all units that are relaxed together.
 STEPS = 64
 #: Bytes of texts that are encoded at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
+#: Units that are joined and learned at once.
+LEARN = 50_000
 
 
 class Vocabulary:
@@ -131,7 +133,7 @@ class Vocabulary:
 
     # --- matching -------------------------------------------------------------------------------------------------
     def edges(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, piece) of every occurrence of every piece, by start and then length."""
+        """(start, piece) of every occurrence of every piece."""
         width = self.table.shape[1]
         sa = suffix_array(data, width)
         n = len(sa)
@@ -154,10 +156,10 @@ class Vocabulary:
                 ends.append(a)
             low[live], high[live] = ends
         count = np.maximum(high - low, 0)
-        piece = np.repeat(np.arange(len(count)), count)
-        start = sa[np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())] if count.sum() else np.zeros(0, np.int64)
-        order = np.lexsort((self.length[piece], start))
-        return start[order], piece[order]
+        piece = np.repeat(np.arange(len(count), dtype=np.int32), count)
+        at = np.repeat((low - np.r_[0, np.cumsum(count)[:-1]]).astype(np.int32), count)
+        at += np.arange(len(at), dtype=np.int32)
+        return sa.astype(np.int32)[at], piece
 
     def learn(self, units: list[str]) -> None:
         """Encode units and remember them: all are relaxed at once, place by place; long ones, which would take many steps, follow."""
@@ -166,26 +168,27 @@ class Vocabulary:
         size = np.array([len(r) for r in raw])
         begin = np.r_[0, np.cumsum(size + 1)][:-1]
         start, piece = self.edges(data)
-        ids, end = np.array(self.plain)[piece], start + self.length[piece]
+        off = np.minimum(start - np.repeat(begin, size + 1).astype(np.int32)[start], STEPS).astype(np.uint8)
+        order = np.argsort(off, kind="stable")
+        cut = np.searchsorted(off[order], np.arange(STEPS + 1))
+        start, piece = start[order], piece[order]
+        del off, order
+        ids, end = np.array(self.plain, np.int32)[piece], start + self.length.astype(np.int32)[piece]
         alone = 1 + (data >= 0xC0) + (data >= 0xE0) + (data >= 0xF0).astype(np.int64)
         single = np.zeros(len(data), bool)
         single[start[end - start == alone[start]]] = True
         last = np.full(len(data), NOWHERE)  # the piece that ends at a place; a unit's own end is the separator behind it
         came = np.zeros(len(data), np.int64)
         last[begin] = BEGIN
-        off = start - np.repeat(begin, size + 1)[start]
-        order = np.argsort(off, kind="stable")
-        start, ids, end = start[order], ids[order], end[order]
-        cut = np.searchsorted(off[order], np.arange(STEPS + 1))
         steps = int(min(STEPS, size.max(initial=0)))
         unit = np.flatnonzero(size)
         for k in range(steps):
-            e = np.arange(cut[k], cut[k + 1])
+            e = slice(cut[k], cut[k + 1])
             self._relax(start[e], ids[e], end[e], last, came)
             unit = unit[size[unit] > k]
             at = begin[unit] + k
             self._fall_back(at[(last[at] != NOWHERE) & ~single[at]], alone, last, came)
-        rest = np.flatnonzero(off[order] >= STEPS)
+        rest = np.arange(cut[STEPS], len(start))
         rest = rest[np.argsort(start[rest], kind="stable")]
         edge, ends = 0, (start[rest].tolist(), ids[rest].tolist(), end[rest].tolist())
         for u in np.flatnonzero(size > STEPS).tolist():
@@ -258,8 +261,8 @@ class Vocabulary:
         new -= self.known.keys()
         pieces = {u: _FINE.findall(u) if self.splits_finer else [u] for u in new}
         fine = list({f for p in pieces.values() for f in p}.difference(self.fine))
-        for k in range(0, len(fine), 100_000):
-            self.learn(fine[k : k + 100_000])
+        for k in range(0, len(fine), LEARN):
+            self.learn(fine[k : k + LEARN])
         for u, p in pieces.items():
             self.known[u] = b"".join([self.fine[f] for f in p])
         of = self.known.__getitem__
