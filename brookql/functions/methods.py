@@ -60,6 +60,11 @@ SCALARS = {
     "lower": ("lower({x})", ()),
     "contains": ("contains({x}, {0})", ()),
     "starts_with": ("startswith({x}, {0})", ()),
+    "ltrim": ("ltrim({x})", ()),
+    "rtrim": ("rtrim({x})", ()),
+    "reverse": ("reverse({x})", ()),
+    "abs": ("abs({x})", ()),
+    "sqrt": ("sqrt({x})", ()),
     "year": ("year({x})", ()),
     "month": ("month({x})", ()),
     "day": ("day({x})", ()),
@@ -76,10 +81,7 @@ CALLS = {
     "strlen": "length({0})",
     "count_approx_distinct": "approx_count_distinct({0})",
     "arbitrary": "any_value({0})",
-    "array_agg": "collect_list({0})",
     "hash": "xxhash64({0})",
-    "string_agg": "listagg({0}, {1})",
-    "strftime": "date_format({0}, {1})",
     "unnest": "explode({0})",
     "day_of_week": "(dayofweek({0}) - 1)",
 }

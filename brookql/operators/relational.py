@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,26 +28,42 @@ def first_of_group(df: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
     return grouped.agg(*rest) if rest else grouped.agg(F.lit(1).alias("_")).drop("_")
 
 
+MOST_COLUMNS = 10_000
+
+
 def pivot(df: DataFrame, on: list[tuple[str, list | None]], by: list[tuple[str, str]], aggregates: list[tuple[str, str]]) -> DataFrame:
-    """Values of the ``on`` columns become columns; counts of absent cells are 0."""
-    counting = not aggregates
+    """Values of the ``on`` columns become columns; counts of absent cells are 0, null values make none.
+
+    Several columns make one for each combination, named by the values joined with ``_``; two combinations of one name are an error.
+    """
+    single = len(aggregates) <= 1
     aggregates = aggregates or [("count", "count(1)")]
     keys = [F.expr(e).alias(n) for n, e in by] if by else [F.col(f"`{c}`") for c in df.columns if c not in {k for k, _ in on}]
-    if len(on) == 1:
-        key, values = on[0]
+    texts = [F.col(f"`{k}`").cast("string") for k, _ in on]
+    if all(v is not None for _, v in on):
+        combos = [[str(x) for x in c] for c in itertools.product(*[v for _, v in on])]
     else:
-        key, values = "_pivot", None
-        if all(v is not None for _, v in on):
-            values = [""]
-            for i, (_, vs) in enumerate(on):
-                values = [f"{a}_{v}" if i else str(v) for a in values for v in vs]
-        df = df.withColumn(key, F.concat_ws("_", *[F.col(k).cast("string") for k, _ in on]))
-    grouped = df.groupBy(*keys)
-    grouped = grouped.pivot(key, values) if values is not None else grouped.pivot(key)
+        given = [F.col(f"`{k}`").cast("string").isin([str(x) for x in v]) for k, v in on if v is not None]
+        some = df.where(functools.reduce(lambda a, b: a & b, given)) if given else df
+        combos = sorted(list(r) for r in some.select(*texts).dropna().distinct().limit(MOST_COLUMNS + 1).collect())
+        if len(combos) > MOST_COLUMNS:
+            raise ValueError(f"a pivot makes at most {MOST_COLUMNS} columns")
+    names = ["_".join(c) for c in combos]
+    if len(set(names)) < len(names):
+        raise ValueError(f"two columns of the pivot would have one name: {sorted(n for n in set(names) if names.count(n) > 1)[0]}")
+    key = "_pivot_key"
+    places = [str(i) for i in range(len(combos))]
+    at = F.create_map(*[x for i, c in enumerate(combos) for x in (F.to_json(F.array(*[F.lit(v) for v in c])), F.lit(str(i)))]) if combos else None
+    df = df.withColumn(key, F.try_element_at(at, F.to_json(F.array(*texts))) if combos else F.lit(None).cast("string"))
+    grouped = df.groupBy(*keys).pivot(key, places or ["none"])
     out = grouped.agg(*[F.expr(e).alias(n) for n, e in aggregates])
-    zero = counting or all(e.startswith("count") for _, e in aggregates)
-    new = out.columns[len(keys):]
-    return out.fillna(0, new) if zero and new else out
+    held = out.columns[: len(keys)]
+    cols = [F.col(f"`{c}`") for c in held]
+    for i, name in enumerate(names):
+        for n, e in aggregates:
+            c = F.col(f"`{i}`" if len(aggregates) == 1 else f"`{i}_{n}`")
+            cols.append((F.coalesce(c, F.lit(0)) if e.startswith(("count(", "count_if(")) else c).alias(name if single else f"{name}_{n}"))
+    return out.select(*cols)
 
 
 def unpivot(df: DataFrame, value: str, name: str, columns: list[str]) -> DataFrame:
@@ -53,16 +72,30 @@ def unpivot(df: DataFrame, value: str, name: str, columns: list[str]) -> DataFra
 
 
 def sample(df: DataFrame, method: str, size: float, percent: bool) -> DataFrame:
-    if percent:
-        return df.sample(size / 100)
-    return df.orderBy(F.rand()).limit(int(size))
+    """``bernoulli`` and ``system`` take each row with the same chance (``system`` goes by blocks elsewhere; file splits aren't
+    fair samples, so here it doesn't); ``reservoir`` takes an exact number, or an exact share, of rows."""
+    if method == "reservoir":
+        n = int(size) if not percent else round(df.count() * size / 100)
+        return df.orderBy(F.rand()).limit(n)
+    if not percent:
+        return df.limit(int(size)) if method == "system" else df.orderBy(F.rand()).limit(int(size))
+    return df.sample(size / 100)
+
+
+#: Ranges of time that an AS-OF join is cut into where one key, or none, may hold very much; and the size it is done from.
+RANGES, SPLIT_BYTES = 256, 1 << 30
 
 
-def asof_join(left: DataFrame, right: DataFrame, equal: list[tuple[str, str]], times: tuple[str, str, str], how: str) -> DataFrame:
+def _bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def asof_join(left: DataFrame, right: DataFrame, equal: list[tuple[str, str]], times: tuple[str, str, str], how: str, split: bool | None = None) -> DataFrame:
     """Each left row with the nearest right row of equal keys whose time is not after (``<=``, ``<``) or not before it.
 
     One shuffle and no growth: both sides are put under each other and the last right row before each left row is carried
-    down.  Null keys and times never match; an inner join drops left rows without a match.
+    down.  Null keys and times never match; an inner join drops left rows without a match.  Without keys, or on much data, time
+    is cut into ranges that are worked on side by side, and each range's last right row is carried into the next ones.
     """
     lt, op, rt = times  # left time, operator of right against left, right time
     names_l, names_r = [f"l{i}" for i in range(len(left.columns))], [f"r{i}" for i in range(len(right.columns))]
@@ -74,10 +107,34 @@ def asof_join(left: DataFrame, right: DataFrame, equal: list[tuple[str, str]], t
     # right rows stand before left rows of the same time unless equality doesn't count
     both = a.withColumn("side", F.lit(0 if strict else 1)).unionByName(b.withColumn("side", F.lit(1 if strict else 0)), allowMissingColumns=True)
     order = [F.col("t").asc_nulls_first() if backward else F.col("t").desc_nulls_first(), F.col("side")]
+    if split is None:
+        split = not keys or _bytes(left) + _bytes(right) >= SPLIT_BYTES
     w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = both.withColumn("m", F.last("r", ignorenulls=True).over(w)).where("l is not null")
+    if not split:
+        out = both.withColumn("m", F.last("r", ignorenulls=True).over(w)).where("l is not null")
+    else:
+        out = _carried(both, keys, order, backward)
     if keys:
         out = out.withColumn("m", F.when(F.col("t").isNotNull() & ~F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False)), F.col("m")))
+    else:
+        out = out.withColumn("m", F.when(F.col("t").isNotNull(), F.col("m")))
     if how == "inner":
         out = out.where("m is not null")
     return out.select(*[F.col(f"l.{n}").alias(c) for c, n in zip(left.columns, names_l)], *[F.col(f"m.{n}").alias(c) for c, n in zip(right.columns, names_r)])
+
+
+def _carried(both: DataFrame, keys: list[str], order: list, backward: bool) -> DataFrame:
+    """Left rows with ``m``, the last right row before each: found within its range of time, else brought from the ranges before."""
+    cuts = both.agg(F.percentile_approx("t", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("c")).first()[0]  # at most RANGES values
+    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast(f"array<{dict(both.dtypes)['t']}>")
+    place = F.when(F.col("t").isNull(), -1).otherwise(F.size(F.filter(bounds, lambda c: c <= F.col("t"))))
+    both = both.withColumn("b", place if backward else -place)
+    by = [*keys, "b"]
+    within = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    found = both.withColumn("m", F.last("r", ignorenulls=True).over(within)).where("l is not null")
+    spans = both.groupBy(*by).agg((F.max_by if backward else F.min_by)(F.col("r"), F.when(F.col("r").isNotNull(), F.col("t"))).alias("e"))
+    before = W.partitionBy(*keys).orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    spans = spans.withColumn("before", F.last("e", ignorenulls=True).over(before)).where("before is not null")
+    named = spans.select(*[F.col(c).alias(f"x_{c}") for c in by], "before")
+    on = functools.reduce(lambda a, c: a & (F.col(c) == F.col(f"x_{c}")), by[1:], F.col(by[0]) == F.col(f"x_{by[0]}"))
+    return found.join(named, on, "left").withColumn("m", F.coalesce("m", "before"))

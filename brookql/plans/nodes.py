@@ -55,3 +55,26 @@ class Query:
 class Statement:
     kind: str
     parts: dict = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class StageDef:
+    """A step of a flow: its trigger (None: success of what it reads), configuration, engine and body."""
+
+    name: str
+    when: Expr | None
+    config: dict
+    on: str | None
+    body: Query
+    merged: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class FlowDef:
+    name: str
+    params: tuple = ()  # of (name, type or None, default or None)
+    depends: str | None = None
+    when: Expr | None = None
+    config: dict = field(default_factory=dict)
+    stages: tuple[StageDef, ...] = ()
+    text: str = ""

@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import commands, printer
+from .flow.model import check_flow
+from .operators import dml
 from .operators import relational as ops
 from .plans.lexer import QueryError
-from .plans.nodes import Expr, Item, Query, Rel, Statement, Step
-from .plans.parser import parse
-from .plans.render import Renderer, bind, type_sql
+from .plans.nodes import Expr, FlowDef, Item, Query, Rel, Statement, Step
+from .plans.parser import Parser, parse
+from .plans.render import Renderer, bind, quote, type_sql
 from .sources import files
+from .sql_session import SqlRunner
+from .streaming import subscribe as streams
+
+#: Names that a type may extend without being defined, and engines that a definition may be for.
+_BASE_TYPES = {"any", "string", "int", "long", "float", "double", "decimal", "boolean", "date", "timestamp", "array", "map", "json", "binary"}
+_DIALECTS = {"spark", "duckdb", "trino", "snowflake", "hive"}
 
 
 class TestFailure(AssertionError):
@@ -32,103 +45,221 @@ class State:
 
 class Scope:
     def __init__(self, session: Session) -> None:
-        self.session, self.values, self.relations = session, dict(session.values), dict(session.relations)
+        self.session, self.values, self.relations = session, dict(session.values), {}
         self.functions, self.methods, self.aliases, self.active = session.functions, session.methods, set(), frozenset()
+        self.views: list[str] = []
+        self.qualified: dict[tuple[str, str], str] = {}  # columns of an AS-OF join by alias
 
     def child(self, values: dict[str, str]) -> Scope:
         out = Scope(self.session)
-        out.values, out.relations, out.aliases, out.active = {**self.values, **values}, dict(self.relations), set(self.aliases), self.active
+        out.values, out.relations, out.aliases, out.active, out.views = {**self.values, **values}, dict(self.relations), set(self.aliases), self.active, self.views
+        out.qualified = dict(self.qualified)
         return out
 
+    def view(self, df: DataFrame) -> str:
+        """A view for one analysis; :meth:`Session.step` drops it once the step's frame is made."""
+        name = f"_brook_{uuid.uuid4().hex[:12]}"
+        df.createOrReplaceTempView(name)
+        self.views.append(name)
+        return name
+
+    def close(self) -> None:
+        while self.views:
+            self.session.spark.catalog.dropTempView(self.views.pop())
+
     def subquery(self, q: Query) -> str:
         """SQL of a subquery: a select over a view, with filters that may look at the outer frame."""
         inner = self.child({})
         base = self.session.source(q, inner)
-        view = f"_brook_{uuid.uuid4().hex[:12]}"
         early = []
         steps = list(q.steps)
         while steps and steps[0].op == "where":
             early.append(steps.pop(0).args[0])
-        name = q.source.alias or (q.source.parts[0][-1] if q.source and q.source.kind == "name" else view)
+        named = q.source.alias or (q.source.parts[0][-1] if q.source and q.source.kind == "name" else None)
+        view = self.view(base)
+        name = named or view
         inner.aliases.add(name)
-        base.createOrReplaceTempView(view)
         if len(steps) > 1 or steps and steps[0].op not in ("select", "agg", "count"):
-            self.session.run_steps(State(base.alias(name)), q.steps, inner).createOrReplaceTempView(view)
-            return f"select * from {view}"
+            inner.views = []
+            whole = self.session.run_steps(State(base.alias(name)), q.steps, inner)
+            return f"select * from {self.view(whole)}"
         r = Renderer(inner, None)
         what = "*" if not steps else "count(1)" if steps[0].op == "count" else ", ".join(r(i.expr) for i in steps[0].args[-1])
-        return f"select {what} from {view} as {name}" + (f" where {' and '.join(map(r, early))}" if early else "")
+        distinct = "distinct " if steps and steps[0].op == "select" and steps[0].args[0] else ""
+        return f"select {distinct}{what} from {view} as {quote(name)}" + (f" where {' and '.join(map(r, early))}" if early else "")
 
 
 class Session:
-    """Compiles and runs statements; what they define stays for the next."""
+    """Compiles and runs statements; what they define stays for the next.
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
+    ``most_rows`` bounds what a test's ``_.rows``, ``_.json`` and ``_.output`` may bring to the driver; beyond it they fail.
+    ``path``: folders where imports are looked for.  ``store``: keeps runs of flows (in memory by default).
+    """
+
+    def __init__(self, spark: SparkSession, most_rows: int = 10_000, path: tuple[str, ...] = (".",), store: Any = None) -> None:
+        self.spark, self.most_rows, self.path = spark, most_rows, path
         self.values: dict[str, str] = {}
-        self.relations: dict[str, DataFrame] = {}
+        self.relations: dict[str, DataFrame | Callable[[], DataFrame]] = {}
         self.models: dict[str, dict] = {}
         self.functions: dict[str, dict] = {}
         self.partials: dict[str, dict] = {}
-        self.methods: dict[str, dict] = {}
+        self.methods: dict[str, list[dict]] = {}
+        self.types: dict[str, list[tuple[str, str]]] = {}
+        self.bound_types: dict[str, tuple[str, ...]] = {}
+        self.flows: dict[str, FlowDef] = {}
+        self.tools: dict[str, Callable[..., Any]] = {}
+        self.connectors: dict[str, Any] = {}
+        self.sinks: dict[str, Callable[..., None]] = {}
+        self.prepared: dict[str, list] = {}
+        self.settings: dict[str, str] = {}
+        self.package = ""
+        self.store = store
         self.last: DataFrame | None = None
         self.open_models: list[str] = []
+        self.streams: list[Any] = []
 
-    def register(self, name: str, df: DataFrame) -> None:
+    def register(self, name: str, df: DataFrame | Callable[[], DataFrame]) -> None:
+        """Name a frame, or a function that opens it when it is first read."""
         self.relations[name] = df
 
+    def frame(self, name: str) -> DataFrame:
+        df = self.relations[name]
+        if not isinstance(df, DataFrame):
+            df = self.relations[name] = df()
+        return df
+
     def run(self, text: str) -> DataFrame | None:
-        """Run all statements; the frame of the last query, if there is one."""
+        """Run all statements of the flow language; the frame of the last query, if there is one."""
         out = None
         for s in parse(text):
             result = self.statement(s)
             out = result if result is not None else out
         return out
 
+    def sql(self, text: str, hive: bool = False) -> DataFrame | None:
+        """Run SQL statements; the frame of the last one."""
+        out = SqlRunner(self, hive).run(text)
+        self.last = out if out is not None else self.last
+        return out
+
+    def run_file(self, path: str) -> DataFrame | None:
+        """Run a file: ``.sql``, ``.hive.sql``, Markdown with fenced queries, or the flow language."""
+        text = files.text(self.spark, path)
+        if path.endswith(".sql"):
+            return self.sql(text, hive=path.endswith(".hive.sql"))
+        if path.endswith(".md"):
+            out = None
+            for kind, body in files.fenced(text):
+                found = self.sql(body) if kind == "sql" else self.run(body)
+                out = found if found is not None else out
+            return out
+        return self.run(text)
+
+    @contextmanager
+    def views(self, wanted: set[str]) -> Iterator[None]:
+        """The session's relations and models without parameters among ``wanted`` as views, while SQL is analysed."""
+        made = []
+        for name in wanted & (set(self.relations) | {n for n, m in self.models.items() if not m["params"]}):
+            if re.fullmatch(r"\w+", name):
+                had = self.spark.catalog.tableExists(name) and any(t.name == name and t.isTemporary for t in self.spark.catalog.listTables())
+                df = self.frame(name) if name in self.relations else self.model(name, [], Scope(self))
+                if not had:
+                    df.createOrReplaceTempView(name)
+                    made.append(name)
+        try:
+            yield
+        finally:
+            for name in made:
+                self.spark.catalog.dropTempView(name)
+
     def statement(self, s: Statement) -> DataFrame | None:
         p = s.parts
         if s.kind == "query":
             self.last = self.query(p["query"], Scope(self))
             return self.last
         if s.kind == "model":
-            self.models[p["name"]] = p
+            self.models[p["name"]] = p | {"package": self.package}
         elif s.kind == "val":
             self.values[p["name"]] = Renderer(Scope(self), None)(p["expr"])
         elif s.kind == "table":
             self.relations[p["name"]] = self.table(p["rows"], p["columns"])
         elif s.kind == "def":
-            (self.partials if "steps" in p else self.functions)[p["name"]] = p
+            (self.partials if "steps" in p else self.functions if not p.get("native") else {})[p["name"]] = p
         elif s.kind == "type":
-            self.methods |= {m["name"]: m for m in p["methods"] if not m.get("native")}
+            self.define_type(p)
+        elif s.kind == "flow":
+            check_flow(p["flow"])
+            self.flows[p["flow"].name] = p["flow"]
+        elif s.kind == "import":
+            self.import_(p)
         elif s.kind == "execute":
-            return self.spark.sql(p["sql"])
+            return self.sql(p["sql"])
         elif s.kind == "explain":
-            df = self.spark.sql(p["sql"]) if "sql" in p else self.query(p["query"], Scope(self))
-            return self.spark.createDataFrame([(df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.FormattedMode),)], "plan string")
+            df = self.sql(p["sql"]) if "sql" in p else self.query(p["query"], Scope(self))
+            return self.explained(df)
         elif s.kind == "use":
-            self.spark.catalog.setCurrentDatabase(".".join(p["name"]))
+            if p["what"] == "connector":
+                self.connector = ".".join(p["name"])
+            else:
+                self.spark.catalog.setCurrentDatabase(".".join(p["name"]))
         elif s.kind == "show_query":
             return self.spark.createDataFrame([(self.models[p["name"]]["text"],)], "query string")
         elif s.kind == "show":
-            return self.run_steps(State(self.show(p)), p["steps"], Scope(self))
+            self.last = self.run_steps(State(commands.show(self, p)), p["steps"], Scope(self))
+            return self.last
         return None
 
-    def show(self, p: dict) -> DataFrame:
-        if p["what"] == "models":
-            rows = [(m["name"], ", ".join(n for n, _ in m["params"])) for m in self.models.values()]
-            df = self.spark.createDataFrame(rows, "name string, args string")
-        elif p["what"] in ("tables", "schemas", "databases", "catalogs", "columns", "functions"):
-            if p["what"] == "columns":
-                df = self.relation(Rel("name", (p["in"],)), Scope(self))
-                df = self.spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema], "name string, type string")
-            else:
-                df = self.spark.sql(f"show {p['what']}" + (f" in {'.'.join(p['in'])}" if p["in"] else ""))
-                df = df.withColumnRenamed({"tables": "tableName", "functions": "function", "catalogs": "catalog"}.get(p["what"], "namespace"), "name")
-                if p["what"] == "tables":
-                    df = df.unionByName(self.spark.createDataFrame([("", n, True) for n in self.relations], "namespace string, name string, isTemporary boolean"))
-        else:
-            raise QueryError(f"can't show {p['what']}")
-        return df.where(F.col("name").like(p["like"])) if p["like"] else df
+    def explained(self, df: DataFrame) -> DataFrame:
+        """One row: the formatted physical plan."""
+        name = f"_brook_{uuid.uuid4().hex[:12]}"
+        df.createOrReplaceTempView(name)
+        try:
+            text = self.spark.sql(f"explain formatted select * from {name}").first()[0]
+        finally:
+            self.spark.catalog.dropTempView(name)
+        return self.spark.createDataFrame([(text,)], "plan string")
+
+    def define_type(self, p: dict) -> None:
+        """Fields and methods of a type, those of what it extends first; an equal definition of one type and dialect is replaced."""
+        name, parent = p["name"], p["extends"]
+        if parent and parent not in self.types and parent not in _BASE_TYPES:
+            raise QueryError(f"{name} extends {parent}, which isn't there")
+        self.types[name] = [*self.types.get(parent, []), *p["fields"]]
+        dialect = p["in"][-1] if p["in"] and p["in"][-1] in _DIALECTS else None
+        if p["in"] and dialect is None:
+            self.bound_types[name] = p["in"]
+        inherited = [(n, m) for n, ms in self.methods.items() for m in ms if m["type"] == parent] if parent else []
+        for n, m in [*inherited, *[(m["name"], m) for m in p["methods"] if not m.get("native")]]:
+            m = m | {"type": name, "in": m.get("in") or dialect}
+            self.methods[n] = [x for x in self.methods.get(n, []) if (x["type"], x["in"]) != (name, m["in"])] + [m]
+
+    def import_(self, p: dict) -> None:
+        """``import a.b [as c] [from 'file']``: all definitions of a file, or the one that is named."""
+        *package, last = p["path"]
+        tries = [p["from"]] if p["from"] else [f"{'/'.join(x)}{e}" for x in (p["path"], package) if x for e in (".wv", ".flow", ".md")]
+        for folder in self.path:
+            for name in tries:
+                path = name if re.match(r"(\w+:)?/", name) else f"{folder}/{name}"
+                if files.exists(self.spark, path):
+                    other = Session(self.spark, path=(path.rsplit("/", 1)[0], *self.path))
+                    other.relations, other.package = dict(self.relations), ".".join(package)
+                    other.run_file(path)
+                    return self.take_from(other, last, p["as"])
+        raise QueryError(f"can't find {'.'.join(p['path'])} in {', '.join(tries)}")
+
+    def take_from(self, other: Session, name: str, alias: str | None) -> None:
+        stores = ("values", "relations", "models", "functions", "partials", "types", "flows")
+        holders = [s for s in stores if name in getattr(other, s) and not (s == "relations" and name in self.relations)]
+        for s in stores:
+            mine, theirs = getattr(self, s), getattr(other, s)
+            if not holders:
+                mine |= {k: v for k, v in theirs.items() if s != "relations" or k not in mine}
+            elif s in holders:
+                value = theirs[name]
+                mine[alias or name] = value | {"name": alias or name} if isinstance(value, dict) else value
+        if not holders or "types" in holders:
+            for n, ms in other.methods.items():
+                self.methods[n] = [m for m in ms if not holders or m["type"] == name] + self.methods.get(n, [])
 
     # --- sources --------------------------------------------------------------------------------------------------
     def table(self, rows: list[list[Expr]], columns: list) -> DataFrame:
@@ -142,7 +273,7 @@ class Session:
 
     def source(self, q: Query, scope: Scope) -> DataFrame:
         for name, inner in q.ctes:
-            scope.relations[name] = self.query(inner, scope)
+            scope.relations[name] = self.query(inner, scope.child({}))
         if q.source is None:
             return self.spark.range(1).select()
         df = self.relation(q.source, scope)
@@ -154,23 +285,28 @@ class Session:
         name = rel.alias
         if rel.kind == "file":
             path = rel.parts[0]
-            if path.endswith(".sql"):
-                df = self.spark.sql(open(path).read())
-            elif path.endswith(".wv"):
-                df = self.run(open(path).read())
+            if path.endswith((".sql", ".wv", ".flow", ".md")):
+                df = self.nested(path)
             else:
                 df = files.read(self.spark, path)
         elif rel.kind == "sql":
-            df = self.spark.sql(Renderer(scope, None)(Expr("interp", ("sql", rel.parts[0])))[1:-1], **scope.relations)
+            df = self.nested_sql(Renderer(scope, None)(Expr("interp", ("sql", rel.parts[0])))[1:-1], scope)
         elif rel.kind == "json":
-            df = self.spark.read.option("multiLine", True).json(self.spark.sparkContext.parallelize([rel.parts[0]]))
+            df = files.json_text(self.spark, rel.parts[0])
+        elif rel.kind == "run_flow":
+            df = self.run_flow(rel.parts[0], rel.parts[1], scope)
+        elif rel.kind == "tool":
+            df = self.call_tool(rel.parts[0], rel.parts[1], scope)
         elif rel.kind == "values":
             df = self.table(rel.parts[0], [(c, None) for c in rel.columns])
         elif rel.kind == "query":
             df = self.query(rel.parts[0], scope.child({}))
         elif rel.kind == "call":
             n, args = rel.parts
-            if n[-1] in self.models:
+            if n[-1] == "subscribe" and len(n) > 1:
+                given = {k: v[0] for k, v in args}
+                df = streams.subscribed(self.relation(Rel("name", (n[:-1],)), scope), **given)
+            elif n[-1] in self.models:
                 df = self.model(n[-1], args, scope)
             elif n[-1] == "unnest":
                 r = Renderer(scope, None)
@@ -179,15 +315,21 @@ class Session:
                 r = Renderer(scope, None)
                 df = self.spark.sql(f"select * from {'.'.join(n)}({', '.join(r(a) for _, a in args)})")
         else:
-            n = rel.parts[0] if rel.kind == "name" else (rel.parts[0],)
+            n = rel.parts[0] if rel.kind == "name" else tuple(self.text_of(rel.parts[0], scope).split("."))
             full = ".".join(n)
             name = name or n[-1]
             if full in scope.relations:
                 df = scope.relations[full]
+            elif full in self.relations:
+                df = self.frame(full)
             elif full in self.models:
                 df = self.model(full, [], scope)
+            elif len(n) > 1 and n[0] in self.connectors:
+                df = self.connectors[n[0]].table(self.spark, ".".join(n[1:]))
+            elif len(n) == 1 and full in self.bound_types and not self.spark.catalog.tableExists(full):
+                df = self.spark.table(".".join([*self.bound_types[full], full]))
             else:
-                df = self.spark.table(full)
+                df = self.spark.table(".".join(map(quote, n)))
         if rel.columns and rel.kind != "values":
             df = df.toDF(*rel.columns)
         if name:
@@ -195,6 +337,53 @@ class Session:
             df = df.alias(name)
         return df
 
+    def nested(self, path: str) -> DataFrame:
+        """The last query of another file, which sees what is defined here and leaves nothing behind."""
+        inner = Session(self.spark, self.most_rows, (path.rsplit("/", 1)[0], *self.path))
+        for k in ("values", "relations", "models", "functions", "partials", "methods", "types", "flows", "connectors", "tools"):
+            setattr(inner, k, dict(getattr(self, k)))
+        found = inner.run_file(path)
+        if found is None:
+            raise QueryError(f"{path} has no query")
+        return found
+
+    def nested_sql(self, text: str, scope: Scope) -> DataFrame:
+        inner = {k: v for k, v in scope.relations.items() if re.fullmatch(r"\w+", k)}
+        outer = {k: self.relations.get(k) for k in inner}
+        self.relations.update(inner)
+        try:
+            return SqlRunner(self).run(text)
+        finally:
+            for k, v in outer.items():
+                self.relations.pop(k)
+                if v is not None:
+                    self.relations[k] = v
+
+    def text_of(self, text: str, scope: Scope) -> str:
+        """A name with its ${} parts, which are constants, put in."""
+        return re.sub(r"\$\{(.*?)\}", lambda m: str(self.constant(m[1], scope)), text)
+
+    def constant(self, text: str, scope: Scope) -> Any:
+        return self.spark.sql(f"select {Renderer(scope, None)(Parser(text).expr())}").first()[0]
+
+    def call_tool(self, name: tuple[str, ...], args: list, scope: Scope) -> DataFrame:
+        """One row (connector, tool, status, content) of a registered tool; a failure is its status."""
+        full = ".".join(name)
+        if full not in self.tools:
+            raise QueryError(f"no such tool: {full}")
+        given = {k or f"arg{i}": self.spark.sql(f"select {Renderer(scope, None)(v)}").first()[0] for i, (k, v) in enumerate(args)}
+        try:
+            status, content = "ok", self.tools[full](**given)
+        except Exception as e:  # what a tool raises is its result
+            status, content = "error", str(e)
+        content = content if isinstance(content, str) else json.dumps(printer.plain(content))
+        return self.spark.createDataFrame([(name[0], name[-1], status, content)], "connector string, tool string, status string, content string")
+
+    def run_flow(self, name: str, args: list, scope: Scope) -> DataFrame:
+        from .flow.run import FlowRunner
+
+        return FlowRunner(self).run(name, args).summary(self.spark)
+
     def model(self, name: str, args: list, scope: Scope) -> DataFrame:
         if name in self.open_models:
             raise QueryError(f"model {name} reads itself")
@@ -209,12 +398,38 @@ class Session:
 
     # --- operators ------------------------------------------------------------------------------------------------
     def query(self, q: Query, scope: Scope) -> DataFrame:
+        if q.steps and q.steps[-1].op == "delete":
+            return self.delete(q, scope)
         return self.run_steps(State(self.source(q, scope)), q.steps, scope)
 
     def run_steps(self, state: State, steps: tuple | list, scope: Scope) -> DataFrame:
-        for step in steps:
-            state = self.step(state, step, scope)
-        return self.ungrouped(state, scope)
+        own = scope.views = []
+        try:
+            for i, step in enumerate(steps):
+                if step.op == "delete":
+                    if i + 1 < len(steps):
+                        raise QueryError("nothing can follow delete")
+                    raise QueryError("delete takes a table and filters only")
+                state = self.step(state, step, scope)
+            return self.ungrouped(state, scope)
+        finally:
+            scope.views = own
+            scope.close()
+
+    def delete(self, q: Query, scope: Scope) -> DataFrame:
+        """Delete the rows that the filters leave from the table that is read."""
+        if q.source is None or q.source.kind != "name" or q.more or any(x.op != "where" for x in q.steps[:-1]):
+            raise QueryError("delete takes a table and filters only")
+        name = ".".join(q.source.parts[0])
+        if name in self.relations or name in self.models or name in scope.relations:
+            raise QueryError(f"delete needs a table, and {name} is a query")
+        df = self.source(q, scope)
+        try:
+            r = Renderer(scope, df)
+            condition = " and ".join(f"coalesce({r(x.args[0])}, false)" for x in q.steps[:-1])
+            return dml.delete(self.spark, name, condition or None, q.source.alias)
+        finally:
+            scope.close()
 
     def ungrouped(self, s: State, scope: Scope) -> DataFrame:
         return ops.first_of_group(s.df, s.keys) if s.keys is not None and not s.having else self.aggregate(s, None, scope) if s.keys is not None else s.df
@@ -305,10 +520,14 @@ class Session:
             return State(ops.unpivot(df, *a))
         if op == "join":
             return State(self.join(df, *a, scope))
-        if op in ("concat", "intersect", "except"):
-            other = self.query(a[0], scope.child({}))
+        if op in ("concat", "intersect", "except", "union"):
+            inner = scope.child({})
+            inner.views = []
+            other = self.query(a[0], inner)
             if op == "concat":
                 return State(df.union(other))
+            if op == "union":
+                return State(df.union(other) if a[1] else df.union(other).distinct())
             return State({("intersect", True): df.intersectAll, ("intersect", False): df.intersect, ("except", True): df.exceptAll, ("except", False): df.subtract}[op, a[1]](other))
         if op == "order":
             keys = []
@@ -319,10 +538,12 @@ class Session:
             return State(df.orderBy(*keys))
         if op == "limit":
             return State(df.limit(int(r(a[0]))))
+        if op == "offset":
+            return State(df.offset(int(r(a[0]))))
         if op == "sample":
             return State(ops.sample(df, *a))
         if op == "describe":
-            return State(self.spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema], "column_name string, column_type string"))
+            return State(commands.describe(df))
         if op == "name_as":
             self.relations[a[0]] = scope.relations[a[0]] = df
             return State(df)
@@ -343,14 +564,16 @@ class Session:
             return State(df)
         if op in ("save", "append"):
             target, file, cols, options = a
-            df = df.toDF(*cols) if cols else df
-            mode = "overwrite" if op == "save" else "append"
+            if df.isStreaming:
+                self.streams.append(streams.start(df, target, file, options))
+                return State(df)
             if file:
-                files.write(df, target, mode, options)
-            else:
-                df.write.mode(mode).options(**options).saveAsTable(target)
-                return State(self.spark.table(target))
-            return State(df)
+                df = df.toDF(*cols) if cols else df
+                files.write(df, target, "overwrite" if op == "save" else "append", options)
+                return State(df)
+            if op == "save":
+                return State(dml.replace_table(df.toDF(*cols) if cols else df, target, options))
+            return State(dml.append(df, target, cols))
         raise QueryError(f"can't run {op} here")
 
     def join(self, df: DataFrame, how: str, asof: bool, rel: Rel, on: Expr | None, using: list[str] | None, scope: Scope) -> DataFrame:
@@ -359,14 +582,40 @@ class Session:
             return df.select("*", F.expr(f"explode({x})").alias(rel.columns[0] if rel.columns else rel.alias or "col"))
         other = self.relation(rel, scope)
         if asof:
-            return self.asof(df, other, on, how, scope)
+            return self.asof(df, other, on, how, scope, rel.alias or (rel.parts[0][-1] if rel.kind == "name" else None))
         if using:
-            return df.join(other, using, how)
+            if using == ["*"]:
+                using = [c for c in df.columns if c in other.columns]
+            return df.join(other, using, how) if using else df.crossJoin(other)
         if on is None:
             return df.crossJoin(other)
         return df.join(other, F.expr(Renderer(scope, None)(on)), how)
 
-    def asof(self, df: DataFrame, other: DataFrame, on: Expr, how: str, scope: Scope) -> DataFrame:
+    def side(self, e: Expr, df: DataFrame, other: DataFrame, name: str | None) -> str:
+        """Which side of a join an expression's columns belong to: by alias, or by the one side that has them."""
+        found: set[str] = set()
+
+        def look(x: Any) -> None:
+            if isinstance(x, Expr):
+                if x.kind == "dot" and x[0].kind == "name" and x[1] not in df.columns + other.columns:
+                    return look(x[0])
+                if x.kind == "dot" and x[0].kind == "name":
+                    found.add("right" if x[0][0] == name else "left")
+                elif x.kind == "name":
+                    here = {k for k, d in (("left", df), ("right", other)) if x[0] in d.columns}
+                    found.update(here)
+                else:
+                    look(x.parts)
+            elif isinstance(x, (tuple, list)):
+                for y in x:
+                    look(y)
+
+        look(e)
+        return found.pop() if len(found) == 1 else "both"
+
+    def asof(self, df: DataFrame, other: DataFrame, on: Expr, how: str, scope: Scope, name: str | None = None) -> DataFrame:
+        if on is None:
+            raise QueryError("an asof join needs a condition")
         parts: list[Expr] = []
 
         def split(e: Expr) -> None:
@@ -380,39 +629,77 @@ class Session:
         r, equal, times = Renderer(scope, None), [], None
         turned = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
         for e in parts:
-            a, b, op = r(e[1]), r(e[2]), e[0]
-            try:
-                other.select(F.expr(b))
-                df.select(F.expr(a))
-            except Exception:
-                a, b, op = b, a, turned.get(op, op)
+            if e.kind != "bin" or e[0] not in ("=", *turned):
+                raise QueryError("an asof join takes equalities and one inequality")
+            x, y, op = e[1], e[2], e[0]
+            sides = self.side(x, df, other, name), self.side(y, df, other, name)
+            if sides == ("right", "left"):
+                x, y, op = y, x, turned.get(op, op)
+            elif sides != ("left", "right"):
+                raise QueryError("each comparison of an asof join has one side's columns on each side; qualify names that both have")
             if op == "=":
-                equal.append((a, b))
+                equal.append((r(x), r(y)))
             elif times is None:
-                times = (a, turned[op], b)
+                times = (r(x), turned[op], r(y))
             else:
                 raise QueryError("an asof join has one inequality")
+        left = set(scope.aliases)
         if times is None:
             raise QueryError("an asof join needs an inequality")
-        return ops.asof_join(df, other, equal, times, how)
+        # names that both sides have get a number on the right, as the aliases are gone behind the join
+        new = []
+        for c in other.columns:
+            k = 1
+            while (n := c if k == 1 and c not in df.columns else f"{c}_{k}") in [*df.columns, *new]:
+                k += 1
+            new.append(n)
+        for a in left - {name}:
+            scope.qualified |= {(a, c): c for c in df.columns if (a, c) not in scope.qualified}
+        if name:
+            scope.qualified |= {(name, c): n for c, n in zip(other.columns, new)}
+        out = ops.asof_join(df, other, equal, times, how)
+        return out.toDF(*df.columns, *new)
 
     # --- tests ----------------------------------------------------------------------------------------------------
+    def rows(self, df: DataFrame) -> list:
+        found = df.limit(self.most_rows + 1).collect()
+        if len(found) > self.most_rows:
+            raise QueryError(f"a test looks at {self.most_rows} rows at most: give the session a larger most_rows, or limit the query")
+        return found
+
     def test(self, df: DataFrame, e: Expr, scope: Scope) -> None:
-        """Hold a result against an expression over ``_.size``, ``_.columns`` and ``_.rows``."""
+        """Hold a result against an expression over ``_.size``, ``_.columns``, ``_.rows``, ``_.json`` and ``_.output``."""
+        views = {
+            "size": df.count,
+            "columns": lambda: list(df.columns),
+            "rows": lambda: [printer.plain(list(row)) for row in self.rows(df)],
+            "json": lambda: "\n".join(json.dumps(printer.plain(row), ensure_ascii=False) for row in self.rows(df)),
+            "output": lambda: printer.box(df, self.most_rows),
+        }
+
         def value(x: Expr) -> Any:
-            if x.kind == "dot" and x[0] == Expr("name", ("_",)):
-                return {"size": df.count, "columns": lambda: list(df.columns), "rows": lambda: [list(row) for row in df.limit(10_000).collect()]}[x[1]]()
+            if x.kind == "dot" and x[0] == Expr("name", ("_",)) and x[1] in views:
+                return views[x[1]]()
             if x.kind == "array":
                 return [value(y) for y in x[0]]
-            return self.spark.sql(f"select {Renderer(scope, None)(x)}").first()[0]
+            return printer.plain(self.spark.sql(f"select {Renderer(scope, None)(x)}").first()[0])
+
+        def same(x: Any, y: Any) -> bool:
+            return x.strip() == y.strip() if isinstance(x, str) and isinstance(y, str) else x == y
 
         if e.kind == "should":
             what, a, b, negate = e.parts
             x, y = value(a), value(b)
-            ok = (x == y) if what == "be" else (y in x)
+            ok = same(x, y) if what == "be" else y in x
             ok = ok != negate
-        else:
+        elif e.kind == "is_null":
+            x, y = value(e[0]), None
+            ok = (x is None) != e[1]
+        elif e.kind == "bin" and e[0] in ("=", "!=", "<", "<=", ">", ">="):
             x, y = value(e[1]), value(e[2])
-            ok = {"=": x == y, "!=": x != y}.get(e[0]) if e[0] in ("=", "!=") else {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[e[0]]
+            ok = {"=": lambda: same(x, y), "!=": lambda: not same(x, y), "<": lambda: x < y, "<=": lambda: x <= y, ">": lambda: x > y, ">=": lambda: x >= y}[e[0]]()
+        else:
+            x, y = value(e), True
+            ok = x is True
         if not ok:
             raise TestFailure(f"{x!r} against {y!r}")
