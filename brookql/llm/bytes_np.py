@@ -9,8 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_B = U(0x9E3779B97F4A7C15 | 1)
-_B_INV = U(pow(int(_B), -1, 1 << 64))
+#: Hashes are polynomials modulo a prime, at two places; modulo a power of two, words with much symmetry would collide at any place.
+PRIME = U((1 << 31) - 1)
+_AT = (1_220_703_125, 630_360_016)
 _M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 #: Bytes that are worked on at once; one longer text makes a larger block.
 BLOCK = 2 << 20
@@ -26,7 +27,7 @@ CLASS[128:] = LOWER
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[ord("A") : ord("Z") + 1] += 32
 
-_powers = {"b": np.ones(1, U), "i": np.ones(1, U)}
+_powers: list[list[np.ndarray]] = [[np.ones(1, U)] * 2 for _ in _AT]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -36,27 +37,47 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def _upto(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, n of them at least."""
-    if len(_powers["b"]) < n:
+def _folded(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo PRIME, up to one PRIME more."""
+    x = (x & PRIME) + (x >> U(31))
+    return (x & PRIME) + (x >> U(31))
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, U)
+    done, step = 1, base
+    while done < n:  # the second half is the first times a power
+        k = min(done, n - done)
+        out[done : done + k] = out[:k] * U(step) % PRIME
+        step, done = step * step % int(PRIME), done + k
+    return out
+
+
+def _upto(n: int) -> list[list[np.ndarray]]:
+    """Powers of each place and of its inverse, n of them at least."""
+    if len(_powers[0][0]) < n:
         n = max(n, BLOCK + 1)
-        for k, base in (("b", _B), ("i", _B_INV)):
-            p = np.full(n, base, U)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers["b"], _powers["i"]
+        _powers[:] = [[_powers_of(base, n), _powers_of(pow(base, -1, int(PRIME)), n)] for base in _AT]
+    return _powers
 
 
 class Hasher:
-    """64-bit hashes of any spans of ``data``; equal bytes have equal hashes wherever they stand."""
+    """62-bit hashes, spread over 64, of any spans of ``data``; equal bytes have equal hashes wherever they stand."""
 
     def __init__(self, data: np.ndarray) -> None:
-        up, self.down = _upto(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, U)
-        np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=self.sums[1:])
+        self.parts = []
+        one = data.astype(U) + U(1)
+        for up, down in _upto(len(data) + 1):
+            v = one * up[: len(data)]  # below 2**39: the sums of a block fit
+            if len(data) > 1 << 24:
+                v = _folded(v)
+            sums = np.zeros(len(data) + 1, U)
+            np.cumsum(v, out=sums[1:])
+            self.parts.append((sums, down))
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(U))
+        a, b = (_folded(_folded(sums[ends] - sums[starts]) % PRIME * down[starts]) % PRIME for sums, down in self.parts)
+        return mix((a << U(31) | b) + (ends - starts).astype(U) * U(0x9E3779B97F4A7C15))
 
 
 def text_blocks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

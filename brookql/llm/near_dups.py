@@ -1,30 +1,36 @@
 """Near-duplicate documents by b-bit MinHash signatures and a multi-index Hamming join, confirmed on full shingle sets.
 
-Documents with equal shingle sets are one class, so copies cost nothing further.  A class's signature has ``SYMBOLS`` minima,
+Documents with the same words in the same order (by a 128-bit BLAKE2 digest) are one class, so copies cost nothing further.  A class's signature has ``SYMBOLS`` minima,
 cut to 16 bits, in ``CHUNKS`` chunks, and ``MORE`` minima cut to 8 bits that only sharpen estimates.  If two signatures
 differ in at most ``2 * CHUNKS - 1`` of the ``SYMBOLS`` places, some chunk has at most one error (pigeonhole), so each chunk
 is entered under each of the keys that leave one of its symbols out, and every such pair meets.  At a similarity of
 0.8 a pair misses all chunks with probability 0.18 ** CHUNKS, about 6e-6.
 
-What meets under a key is not expanded into all pairs.  Estimates from the signatures join strongly similar members by two
-spanning forests, and probable links by a third.  These pairs are confirmed on both whole texts first.  The keys are then
-gone through again with the components that these links make: whole texts of members that are still apart, at or above the
-lowest estimate that a link can have, meet under the key, where all these pairs are confirmed and a forest of the links is put out.  Keys with many members are cut into blocks, and each two blocks are a group.
-Components of confirmed links are found by alternating large and small stars.
+What meets under a key is not expanded into all pairs.  First, members of a key are dealt into blocks of at most ``BLOCK``, large
+keys twice, differently; within a block, estimates from the signatures join strongly similar members by two
+spanning forests, and probable links by a third.  These pairs are confirmed on both whole texts.  The keys are then
+gone through again with the components that these links make.  Only members outside a key's largest component can add
+a link there that matters, so these few are compared with all members, block by block: from the lowest estimate that a link
+can have on, both whole texts meet under the key, and a forest of the confirmed links is put out.  A link is confirmed by
+hashes of the shingles and then by the shingles themselves.  Components of confirmed links are found by alternating large and
+small stars.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bytes_np as bn
-from .shared import materialise, table, trimmed
+from .shared import discard, materialise, table, trimmed
 
 CHUNKS, WIDE = 7, 4
 SYMBOLS, MORE = CHUNKS * WIDE, 100
@@ -32,7 +38,7 @@ K = SYMBOLS + MORE
 STRONG = 0.9
 #: Standard deviations of an estimate that a link may lie below the threshold.
 SIGMAS = 4.5
-#: Members of a key that are compared within one group, at most twice as many.
+#: Members of a key in one block.
 BLOCK = 2048
 #: Shingles in all of such members.
 BLOCK_SHINGLES = 4_000_000
@@ -73,21 +79,35 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def word_digests(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
+    """A 128-bit digest of each text's words (A-Z lower-cased), one space between them."""
+    for a, b, data, offsets in bn.text_blocks(column):
+        data = bn.FOLD[data]
+        space = bn.CLASS[data] == bn.SPACE
+        after = np.r_[True, space[:-1]] if len(data) else space
+        keep = ~(space & after)  # the first white byte behind each word stays
+        ends = np.r_[0, np.cumsum(keep)]
+        kept = np.where(space, np.uint8(32), data)[keep].tobytes()
+        for i, j in zip(ends[offsets[:-1]].tolist(), ends[offsets[1:]].tolist()):
+            yield hashlib.blake2b(kept[i:j].strip(b" "), digest_size=16).digest()
+
+
 def profiles(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, f1, f2, sig): set size, two fingerprints of the set, packed signature."""
+    """(doc_id, tx, n, d1, d2, sig): hash of the row's text, set size, digest of the words, packed signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, f1, f2, sig = [], [], [], []
+            n, sig = [], []
             for s in shingles(batch.column(1), width):
                 n.append(len(s))
-                f1.append(int(bn.mix(s).sum().astype(np.int64)) if len(s) else 0)
-                f2.append(int(bn.mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum().astype(np.int64)) if len(s) else 0)
                 m = signature(s) >> U(40)
                 sig.append(m[:SYMBOLS].astype(np.uint16).tobytes() + m[SYMBOLS:].astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n", "f1", "f2", "sig"])
+            d = np.frombuffer(b"".join(word_digests(batch.column(1))), np.int64).reshape(-1, 2)
+            columns = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tx", "n", "d1", "d2", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, n long, f1 long, f2 long, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tx"))
+    return rows.mapInArrow(trimmed(run), "doc_id long, tx long, n long, d1 long, d2 long, sig binary")
 
 
 def _unpack(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +170,7 @@ def likely_pairs(wide: np.ndarray, more: np.ndarray, slot: int, lowest: float, t
     if n == 2:
         share = ((wide[0] == wide[1]).sum() + (more[0] == more[1]).sum()) / K
         return np.array([[0, 1]]) if share >= lowest and _first_slot(wide[:1], wide[1:])[0] == slot else np.zeros((0, 2), int)
-    share = _shares(wide, more, np.arange(n))
+    share = _shares(wide, more, np.arange(n), np.arange(n))
     np.fill_diagonal(share, 0)
     strong = share >= STRONG
     out = []
@@ -165,17 +185,18 @@ def likely_pairs(wide: np.ndarray, more: np.ndarray, slot: int, lowest: float, t
     return np.concatenate(out)
 
 
-def open_pairs(wide: np.ndarray, more: np.ndarray, block: np.ndarray, component: np.ndarray, slot: int, lowest: float) -> np.ndarray:
-    """Rows (place, place) of all pairs of one group from the lowest estimate on whose ends lie in different components."""
-    names, place, size = np.unique(component, return_inverse=True, return_counts=True)
-    few = np.flatnonzero(place != size.argmax())
-    if not len(few):
+def open_pairs(wide: np.ndarray, more: np.ndarray, ids: np.ndarray, few: np.ndarray, outer: np.ndarray, component: np.ndarray, slot: int, lowest: float) -> np.ndarray:
+    """Rows (place, place) of the pairs of one group from the lowest estimate on whose ends lie in different components.
+
+    ``few`` rows are compared with the others; ``outer`` tells members outside the key's largest component, which have rows of
+    both kinds: of two of them one row pair is enough.
+    """
+    mine, others = np.flatnonzero(few), np.flatnonzero(~few)
+    if not len(mine) or not len(others):
         return np.zeros((0, 2), int)
-    a, b = np.nonzero(_shares(wide, more, few) >= lowest)
-    a = few[a]
-    stay = (place[a] != place[b]) & ((place[b] == size.argmax()) | (a < b))
-    if block.max() > block.min():  # members of one block meet in the group of that block alone
-        stay &= block[a] != block[b]
+    a, b = np.nonzero(_shares(wide, more, mine, others) >= lowest)
+    a, b = mine[a], others[b]
+    stay = (component[a] != component[b]) & (~outer[b] | (ids[a] < ids[b]))
     a, b = a[stay], b[stay]
     if not len(a):
         return np.zeros((0, 2), int)
@@ -183,34 +204,56 @@ def open_pairs(wide: np.ndarray, more: np.ndarray, block: np.ndarray, component:
     return np.stack([a[first], b[first]], 1)
 
 
-def _shares(wide: np.ndarray, more: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The share of equal places of each of ``rows`` with each member."""
-    share = np.zeros((len(rows), len(wide)), np.float32)
+def _shares(wide: np.ndarray, more: np.ndarray, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The share of equal places of each of ``rows`` with each of ``others``."""
+    share = np.zeros((len(rows), len(others)), np.float32)
+    w, m = wide[others], more[others]
     for a in range(0, len(rows), 32):
         at = rows[a : a + 32]
-        share[a : a + 32] = (wide[at, None] == wide[None]).sum(2) + (more[at, None] == more[None]).sum(2)
+        share[a : a + 32] = (wide[at, None] == w[None]).sum(2) + (more[at, None] == m[None]).sum(2)
     return share / K
 
 
 GROUP = ["key", "slot", "i", "j"]
 
 
-def members(classes: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """The members of each group (key, slot, i, j): id, block, sig, component; given the components ``found``, of groups with several alone."""
+def _blocks(members: str, shingles_: str) -> Column:
+    return F.greatest(F.ceil(F.col(members) / BLOCK), F.ceil(F.col(shingles_) / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+
+def _place(salt: int, blocks: str) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(salt)), F.col(blocks)).cast("int")
+
+
+def members(classes: DataFrame) -> DataFrame:
+    """(key, slot, i, j, id, sig): the members of each key with several, in blocks j; a key of several blocks is dealt twice (i)."""
     k = keys(classes)
-    if found is None:
-        signed = classes.select("id", "sig", "n", F.col("id").alias("component"))
-    else:
-        of = found.select(F.col("id").alias("of"), "component")
-        signed = materialise(classes.join(of, F.col("id") == F.col("of"), "left").select("id", "sig", "n", F.coalesce("component", "id").alias("component")))
-    k = k.join(signed.select("id", "n", "component").hint("merge"), "id")  # the same plan at every size
-    size = k.groupBy("key", "slot").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"), (F.min("component") < F.max("component")).alias("open"))
-    size = size.where("m > 1" if found is None else "open").select("key", "slot", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("nb"))
-    k = k.select("key", "slot", "id").join(size.hint("merge"), ["key", "slot"])
-    mine = F.pmod(F.xxhash64("id", F.lit(5)), F.col("nb")).cast("int")
-    k = k.withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    k = k.select("key", "slot", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return k.join(signed.drop("n"), "id").select(*GROUP, "id", "block", "sig", "component")
+    size = k.groupBy("key", "slot").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "slot", _blocks("m", "m").alias("nb"))
+    k = k.join(size.hint("merge"), ["key", "slot"])  # the same plan at every size
+    k = k.withColumn("i", F.explode(F.when(F.col("nb") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    k = k.withColumn("j", F.pmod(F.xxhash64("id", "i"), F.col("nb")).cast("int"))
+    return k.select(*GROUP, "id").join(classes.select("id", "sig"), "id").select(*GROUP, "id", "sig")
+
+
+def open_members(classes: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, slot, i, j, id, few, outer, sig, component) of each key whose members lie in several of the components ``found``, and
+    the table that it reads.
+
+    Group (i, j) has block j of all members and, as ``few``, block i of those outside the key's largest component.
+    """
+    of = found.select(F.col("id").alias("of"), "component")
+    signed = materialise(classes.join(of, F.col("id") == F.col("of"), "left").select("id", "sig", "n", F.coalesce("component", "id").alias("component")))
+    k = keys(classes).join(signed.select("id", "n", "component").hint("merge"), "id")
+    each = k.groupBy("key", "slot", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    largest = F.max(F.struct("c", "component", "s")).alias("big")
+    size = each.groupBy("key", "slot").agg(F.sum("c").alias("m"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("k"), largest).where("k > 1")
+    size = size.withColumns({"m2": F.col("m") - F.col("big.c"), "s2": F.col("s") - F.col("big.s")})
+    size = size.select("key", "slot", F.col("big.component").alias("big"), _blocks("m", "s").alias("nb"), _blocks("m2", "s2").alias("nq"))
+    k = k.select("key", "slot", "id", "component").join(size.hint("merge"), ["key", "slot"]).withColumn("outer", F.col("component") != F.col("big"))
+    steps = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    every = k.select("key", "slot", steps("nq").alias("i"), _place(5, "nb").alias("j"), "id", F.lit(False).alias("few"), "outer")
+    few = k.where("outer").select("key", "slot", _place(6, "nq").alias("i"), steps("nb").alias("j"), "id", F.lit(True).alias("few"), "outer")
+    return every.union(few).join(signed.drop("n"), "id").select(*GROUP, "id", "few", "outer", "sig", "component"), signed
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
@@ -260,6 +303,14 @@ def spanning(classes: DataFrame, threshold: float) -> DataFrame:
     return _grouped(members(classes)).mapInArrow(trimmed(run), "a long, b long").where("a <> b").distinct()
 
 
+def class_texts(docs: DataFrame, classes: DataFrame, need: DataFrame) -> DataFrame:
+    """(id, text): one text of each class in ``need`` (id); rows repeat as often as they like."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text", F.xxhash64("text").alias("tx"))
+    wanted = classes.join(need.hint("merge"), "id").select("id", F.col("row.doc_id").alias("first"), F.col("row.tx").alias("first_tx"))
+    met = rows.join(wanted.hint("merge"), (F.col("doc") == F.col("first")) & (F.col("tx") == F.col("first_tx")))  # the same plan at every size
+    return met.groupBy("id").agg(F.first("text").alias("text"))
+
+
 def open_links(classes: DataFrame, found: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) that join the components ``found`` wherever any link does.
 
@@ -267,40 +318,64 @@ def open_links(classes: DataFrame, found: DataFrame, docs: DataFrame, width: int
     the group, which confirms the open pairs on full sets and puts out a spanning forest of the links: no row per pair.
     """
     lowest = lowest_share(percent / 100)
-    names = [*GROUP, "id", "block", "sig", "component"]
+    names = [*GROUP, "id", "few", "outer", "sig", "component"]
+
+    def pairs_of(t: pa.Table) -> np.ndarray:
+        wide, more = _unpack(t.column("sig").combine_chunks())
+        ids, few, outer, component = (t.column(c).to_numpy() for c in ("id", "few", "outer", "component"))
+        return open_pairs(wide, more, ids, few, outer, component, t.column("slot")[0].as_py(), lowest)
 
     def involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, cut in _groups(batches):
-            slot, block, component = (t.column(c).to_numpy() for c in ("slot", "block", "component"))
-            wide, more = _unpack(t.column("sig").combine_chunks())
             stay = np.zeros(len(t), bool)
             for a, b in zip(cut[:-1], cut[1:]):
-                stay[a + open_pairs(wide[a:b], more[a:b], block[a:b], component[a:b], slot[a], lowest).reshape(-1)] = True
+                if b - a > 1:
+                    stay[a + pairs_of(t.slice(int(a), int(b - a))).reshape(-1)] = True
             yield from t.filter(pa.array(stay)).to_batches()
 
-    rows = _grouped(members(classes, found))
+    rows, signed = open_members(classes, found)
+    rows = _grouped(rows)
     rows = materialise(rows.mapInArrow(trimmed(involved), rows.schema))
-    need = rows.select(F.col("id").alias("need")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    texts = texts.join(need.hint("merge"), F.col("id") == F.col("need"), "left_semi")
+    texts = class_texts(docs, classes, rows.select("id").distinct())
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, cut in _groups(batches):
             for a, b in zip(cut[:-1], cut[1:]):
                 g = t.slice(int(a), int(b - a))
-                ids, block, component = (g.column(c).to_numpy() for c in ("id", "block", "component"))
-                wide, more = _unpack(g.column("sig").combine_chunks())
-                pairs = open_pairs(wide, more, block, component, g.column("slot")[0].as_py(), lowest)
-                links = group_links(list(shingles(g.column("text"), width)), pairs, component, percent) if len(pairs) else pairs
+                pairs = pairs_of(g)
+                if not len(pairs):
+                    continue
+                ids, component = g.column("id").to_numpy(), g.column("component").to_numpy()
+                one, place = np.unique(ids, return_index=True)
+                at = np.searchsorted(one, ids)
+                links = group_links(g.column("text").take(pa.array(place)), at[pairs], component[place], width, percent)
                 if len(links):
-                    links = np.sort(ids[links], 1)
+                    links = np.sort(one[links], 1)
                     yield pa.RecordBatch.from_arrays([pa.array(links[:, k]) for k in range(2)], ["a", "b"])
 
-    return _grouped(rows.join(texts, "id").select(*names, "text")).mapInArrow(trimmed(confirmed), "a long, b long").where("a <> b").distinct()
+    out = materialise(_grouped(rows.join(texts, "id").select(*names, "text")).mapInArrow(trimmed(confirmed), "a long, b long").where("a <> b").distinct())
+    discard(rows, signed)
+    return out
+
 
+_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
-def group_links(sets: list[np.ndarray], pairs: np.ndarray, component: np.ndarray, percent: int) -> np.ndarray:
-    """A spanning forest, over components, of the ``pairs`` of one group that full sets confirm."""
+
+def real_shingles(text: str, width: int) -> set[tuple[bytes, ...]]:
+    """The shingles themselves."""
+    words = _WORDS.findall(text.encode().lower())
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def real_link(a: str, b: str, width: int, percent: int) -> bool:
+    x, y = real_shingles(a, width), real_shingles(b, width)
+    common = len(x & y)
+    return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def group_links(texts: pa.ChunkedArray, pairs: np.ndarray, component: np.ndarray, width: int, percent: int) -> np.ndarray:
+    """A spanning forest, over components, of the ``pairs`` of one group that full sets confirm, by hash and then in earnest."""
+    sets = list(shingles(texts, width))
     values, flat = np.unique(np.concatenate(sets), return_inverse=True)
     size = np.array([len(s) for s in sets])
     flat = np.split(flat, np.cumsum(size)[:-1])
@@ -319,30 +394,30 @@ def group_links(sets: list[np.ndarray], pairs: np.ndarray, component: np.ndarray
             some = others[k : k + 256]
             common = np.add.reduceat(has[np.concatenate([flat[y] for y in some])], np.r_[0, np.cumsum(size[some])[:-1]], dtype=np.int64)
             for y in some[(common > 0) & (100 * common >= percent * (size[x] + size[some] - common))]:
-                if tree[x] != tree[y]:
+                if tree[x] != tree[y] and real_link(texts[int(x)].as_py(), texts[int(y)].as_py(), width, percent):
                     out.append((x, y))
                     tree[tree == tree[y]] = tree[x]
         has[flat[x]] = False
     return np.array(out, int).reshape(-1, 2)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = materialise(texts.join(need.hint("merge"), "id"))  # the same plan at every size
+def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs of classes whose full sets have 100 * intersection >= percent * union."""
+    texts = materialise(class_texts(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stay = []
-            for x, y in zip(shingles(batch.column(2), width), shingles(batch.column(3), width)):
+            for k, (x, y) in enumerate(zip(shingles(batch.column(2), width), shingles(batch.column(3), width))):
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                stay.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
+                stay.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common) and real_link(batch.column(2)[k].as_py(), batch.column(3)[k].as_py(), width, percent))
             mask = pa.array(stay, pa.bool_())
             yield pa.RecordBatch.from_arrays([pc.filter(batch.column(0), mask), pc.filter(batch.column(1), mask)], ["a", "b"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(trimmed(run), "a long, b long").distinct()
+    out = materialise(both.select("a", "b", "ta", "tb").mapInArrow(trimmed(run), "a long, b long").distinct())
+    discard(texts)
+    return out
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -357,7 +432,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         large = large.union(low.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        e = materialise(small.where("u <> v").distinct())
+        old, e = e, materialise(small.where("u <> v").distinct())
+        discard(old)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
         if now == state:
             return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
@@ -372,17 +448,27 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     empty and blank texts have no shingles and are linked with nothing.  Rows that share a doc_id count as linked; a null
     doc_id is linked with nothing, has no component and is kept.  Other columns don't matter; an empty table gives none.
     """
+    docs = docs.select("doc_id", "text")
     base = materialise(profiles(docs, width))
     named = base.where("n > 0 and doc_id is not null")
-    classes = materialise(named.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")))
-    edges = confirm(materialise(spanning(classes, percent / 100)), docs, width, percent)
-    repeated = named.select("doc_id", "f1", "f2", "n").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id")
-    own = named.join(repeated, "doc_id").join(classes.drop("sig"), ["f1", "f2", "n"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    found = components(edges.union(own))
-    more = materialise(open_links(classes, found, docs, width, percent))
-    found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
-    of_class = classes.select("f1", "f2", "n", "id").join(found, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component_id"))
-    out = base.select("doc_id", "n", "f1", "f2").join(of_class, ["f1", "f2", "n"], "left")
+    same = named.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "tx")).alias("row"), F.min("n").alias("n"), F.first("sig").alias("sig"))
+    classes = materialise(same.select(F.monotonically_increasing_id().alias("id"), "*"))
+    likely = materialise(spanning(classes, percent / 100))
+    edges = confirm(likely, classes, docs, width, percent)
+    # rows that share a doc_id and differ
+    ids = named.select("doc_id", "d1", "d2").distinct()
+    repeated = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id")
+    own = ids.join(repeated, "doc_id").join(classes.select("id", "d1", "d2"), ["d1", "d2"])
+    own = own.select(F.col("id").alias("a"), F.min("id").over(W.partitionBy("doc_id")).alias("b")).where("a <> b")
+    first = components(edges.union(own))
+    more = open_links(classes, first, docs, width, percent)
+    found = components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+    label = F.coalesce("component", "c.id").alias("label")
+    of_class = classes.alias("c").join(found.alias("f"), F.col("c.id") == F.col("f.id"), "left").select("d1", "d2", "row.doc_id", label)
+    least = of_class.groupBy(F.col("label").alias("of")).agg(F.min("doc_id").alias("component_id"))
+    of_class = materialise(of_class.join(least, F.col("label") == F.col("of")).select("d1", "d2", "component_id"))
+    discard(classes, likely, edges, first, more, found)
+    out = base.select("doc_id", "n", "d1", "d2").join(of_class, ["d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -22,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests) a folder of this machine."""
+    """The folder in ``spark.checkpoint.dir``.  Where it is unset, a session on one machine (tests) gets a folder of its own there;
+    a cluster has no folder that all its machines share but the one it names, so there it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         path = tempfile.mkdtemp(prefix="brookql-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -38,6 +41,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of :func:`materialise`-d frames that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        root = f"{shared_dir(spark).rstrip('/')}/brookql/"
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            if root.split("://")[-1].removeprefix("file:") in folder:
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run``, giving freed memory back to the machine when a task ends: Python workers outlive their tasks."""
 
@@ -62,7 +76,7 @@ def crc_mod(col: str, m: int):
 def label_sample(labels: DataFrame, label: str, bound: int, m: int, held_out: int) -> DataFrame:
     """At most ``bound`` (doc_id, y) rows with a 0/1 label outside the held-out fold, the smallest by a hash of the id.
 
-    The bound makes the result fit for a broadcast: ``bound`` rows of two numbers.
+    The bound makes the result fit for a broadcast: ``bound`` rows of two numbers.  An id with contradicting labels counts as 1.
     """
     return (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (crc_mod("doc_id", m) != held_out))
