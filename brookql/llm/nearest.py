@@ -1,13 +1,18 @@
 """Approximate nearest neighbours by cosine: probed lists, and a scan that gives candidates up early.
 
 Vectors are scaled to length one and rotated by a fixed random orthogonal matrix, so that any leading columns are a fair
-sample of a distance.  Each vector belongs to the list of its nearest centroid (k-means on a bounded sample).  A query
-scans the lists nearest to it, column block by column block: from the partial squared distance over d of D columns a
-hypothesis test decides whether a candidate can still be among the best, and gives it up if not.  Those that stay are
+sample of a distance.  Each vector belongs to the list of its nearest centroid (k-means on a bounded sample).  How many lists
+a query probes is fitted too: on the sample, brute force tells the true neighbours, and as many lists are probed as find
+``TARGET`` of them there.  Where vectors have structure that is few lists; where they have none, most.
+
+A query's distances to the sample, whose vectors are candidates themselves, bound its k-th best distance from the start.
+It then scans its lists column block by column block: from the partial squared distance over d of D columns a
+hypothesis test decides whether a candidate can still be within the bound, and gives it up if not.  Those that stay are
 measured exactly on the original vectors in double precision.
 
 Equal vectors are one candidate with the smallest ids that a result can need, so a vector that a third of all rows share
-is scanned once.  A list is cut into blocks of bounded size, each scanned by one task's group for that list's queries.
+is scanned once.  A list is cut into blocks of bounded size, as many as it needs; queries come to a block in packs of bounded size,
+one after the other, so a task holds one block and one pack.
 """
 
 from __future__ import annotations
@@ -15,21 +20,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import materialise, table
+from .shared import discard, materialise, table
 
-#: Vectors that centroids are fitted on, at most.
-SAMPLE = 20_000
-#: Vectors a list has on average, lists at most, and the share of the lists (and the least number) that a query scans.
-PER_LIST, MAX_LISTS, PROBE_SHARE, MIN_PROBES = 400, 4096, 0.75, 16
+#: Vectors that centroids, probes and bounds are fitted on, at most; and those of them that are asked to fit the probes.
+SAMPLE, ASKED = 20_000, 400
+#: Vectors a list has on average, and lists at most.
+PER_LIST, MAX_LISTS = 400, 4096
+#: The share of true neighbours in the sample that the probed lists must hold, and the least number of them.
+TARGET, MIN_PROBES = 0.96, 4
 BLOCK_ROWS, COLUMNS = 8192, 16
+#: Bytes of vectors in one pack of queries.
+PACK = 1 << 15
 #: The test gives a candidate up if its partial distance, scaled up, is over the limit by the factor (1 + EPSILON / sqrt(d))**2.
 EPSILON = 2.1
+#: Below this share of pairs still in the race, only theirs are computed; above it, whole column blocks are.
+FEW = 0.2
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -61,42 +71,73 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return np.asarray(column.flatten()).astype(np.float64).reshape(len(column), -1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row by a power of two, which is exact, so that its largest component is about one."""
+    _, e = np.frexp(np.abs(x).max(1, keepdims=True))
+    return np.ldexp(x, -e)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(1, keepdims=True)
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def scan(q: np.ndarray, x: np.ndarray, keep: int, limit: float) -> tuple[np.ndarray, float]:
-    """Places in ``x`` of those that the tests leave for query ``q``, and the squared distance of the ``keep``-th best."""
-    dim = len(q)
-    alive, part = np.arange(len(x)), np.zeros(len(x))
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The cosine of each row of ``x`` with that of ``y``, both :func:`scaled`."""
+    return (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+
+
+def scan(q: np.ndarray, x: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, candidate) places of the pairs of ``q`` and ``x`` that the tests leave within each query's ``limit`` of squared distance."""
+    dim = q.shape[1]
+    part, pairs, alive = np.zeros((len(q), len(x)), np.float32), None, None
     for a in range(0, dim, COLUMNS):
         b = min(a + COLUMNS, dim)
-        d = x[alive, a:b] - q[a:b]
-        part = part + np.einsum("ij,ij->i", d, d)
-        if b < dim:
-            if limit == np.inf and len(alive) > keep:  # measure the most promising first: they set the limit
-                first = alive[np.argpartition(part, keep - 1)[:keep]]
-                whole = x[first] - q
-                limit = np.einsum("ij,ij->i", whole, whole).max() * (1 + 1e-9) + 1e-12
-            stay = part * (dim / b) <= limit * (1 + EPSILON / np.sqrt(b)) ** 2
-            alive, part = alive[stay], part[stay]
-    if len(alive) > keep:
-        limit = min(limit, np.partition(part, keep - 1)[keep - 1])
-        alive = alive[part <= limit * (1 + 1e-9) + 1e-12]
-    return alive, limit
+        qa, xa = q[:, a:b], x[:, a:b]
+        if pairs is None:
+            part += (qa * qa).sum(1)[:, None] + (xa * xa).sum(1)[None] - 2 * (qa @ xa.T)
+        else:
+            d = qa[pairs[0]] - xa[pairs[1]]
+            alive += np.einsum("ij,ij->i", d, d)
+        allowed = limit * ((1 + EPSILON / np.sqrt(b)) ** 2 * b / dim if b < dim else 1) * (1 + 1e-4) + 1e-5
+        if pairs is not None:
+            stay = alive <= allowed[pairs[0]]
+            pairs, alive = (pairs[0][stay], pairs[1][stay]), alive[stay]
+        else:
+            inside = part <= allowed[:, None]
+            if b == dim or np.count_nonzero(inside) < FEW * inside.size:
+                pairs = np.nonzero(inside)
+                alive = part[pairs]
+            else:
+                part[~inside] = np.inf
+    return pairs
+
+
+def fitted(seen: np.ndarray, lists: int, k: int) -> tuple[np.ndarray, int]:
+    """Centroids of the sample, and how many of them must be probed to find TARGET of the true neighbours within it."""
+    centres = kmeans(seen, lists)
+    some = seen[:: max(1, len(seen) // ASKED)][:ASKED]
+    near = np.argsort(-(some @ seen.T), axis=1)[:, 1 : k + 1]
+    if not near.size:
+        return centres, lists
+    of = (seen @ centres.T).argmax(1)
+    like = some @ centres.T
+    place = np.argsort(np.argsort(-like, axis=1), axis=1)
+    ranks = np.sort(np.take_along_axis(place, of[near], 1).ravel())
+    return centres, int(min(lists, max(MIN_PROBES, ranks[min(len(ranks) - 1, int(np.ceil(TARGET * len(ranks))) - 1)] + 1)))
 
 
 def search(
     vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", vec: str = "embedding", sample: int = SAMPLE,
-    probe_share: float = PROBE_SHARE, min_probes: int = MIN_PROBES,
+    probes: int | None = None, per_list: int = PER_LIST,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries``, which are rows of ``vectors``, its ``k`` nearest others.
 
     Score is the cosine of the original vectors in double precision; ties go to the smaller id.  Rows whose vector is
     null, zero or not finite take no part, nor do those with another number of components than most rows have (of
     equal numbers the smaller).  Of several rows with one id the one with the smallest hash of its vector takes part.
-    Fewer candidates than ``k`` are all returned.  Other columns are ignored.  With no usable rows the result is empty.
+    Fewer candidates than ``k`` are all returned, if a list that is probed has them: with few vectors all lists are.  Other columns are ignored.
+    With no usable rows the result is empty.  ``probes`` overrules the number of lists that the sample says.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -107,68 +148,109 @@ def search(
     dim, n = sizes[0]
     one = lambda d: d.where(F.size("v") == dim).groupBy("id").agg(F.min(F.struct(F.xxhash64("v").alias("key"), "v")).alias("m")).select("id", "m.key", "m.v")
     v = one(v)
+    kind = dict(v.dtypes)["v"]
     # one row for each vector, with the k + 1 smallest ids that have it: a query's own id may be among them
     first = F.row_number().over(W.partitionBy("key", "v").orderBy("id"))
     same = v.select("key", "v", "id").withColumn("r", first).where(F.col("r") <= k + 1)
-    same = same.groupBy("key", "v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    same = materialise(same.groupBy("key", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     turn = rotation(dim)
     taken = same.orderBy(F.xxhash64("key"), "key").limit(sample).select("v").toArrow().column(0)
-    seen = unit(_matrix(taken.combine_chunks())) @ turn
-    lists = int(min(MAX_LISTS, max(1, n // PER_LIST), max(1, len(seen) // 4)))
-    probes = int(min(lists, max(min_probes, round(lists * probe_share))))
-    shared = spark.sparkContext.broadcast((turn, kmeans(seen, lists)))
+    seen = (unit(_matrix(taken.combine_chunks())) @ turn).astype(np.float32)
+    lists = int(min(MAX_LISTS, max(1, n // per_list), max(1, len(seen) // 4)))
+    centres, enough = fitted(seen, lists, k)
+    probes = lists if len(seen) < 4 * k * max(1, lists) else min(lists, probes or enough)
+    shared = spark.sparkContext.broadcast((turn, centres, seen))  # bounded by SAMPLE and MAX_LISTS
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, centres = shared.value
+        turn, centres, _ = shared.value
         for batch in batches:
             x = unit(_matrix(batch.column("v"))) @ turn if len(batch) else np.zeros((0, dim))
             near = (x @ centres.T).argmax(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32))], ["key", "v", "ids", "list"])
 
-    kind = dict(v.dtypes)["v"]
-    placed = same.mapInArrow(place, f"key long, v {kind}, ids array<long>, list int")
-    placed = materialise(placed.withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(max(1, -(-4 * n // (lists * BLOCK_ROWS)))))))
-    blocks = placed.groupBy("list", "block").agg(F.count(F.lit(1)).alias("n")).select(F.col("list").alias("to_list"), F.col("block").alias("to_block"))
+    placed = materialise(same.mapInArrow(place, f"key long, v {kind}, ids array<long>, list int"))
+    blocks = F.broadcast(placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")))  # at most MAX_LISTS rows
+    candidates = placed.join(blocks, "list").select(
+        "list", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.lit(0).cast("byte").alias("side"),
+        "v", "ids", F.lit(None).cast("binary").alias("q"), F.lit(None).cast("binary").alias("bound"),
+    )
+    asked = one(usable(queries.select(F.col(vec_id).cast("long").alias("id"), F.col(vec).alias("v")), "v").where("id is not null"))
+    # equal queries are searched once
+    distinct = materialise(asked.select("key", "v").distinct().withColumn("qid", F.monotonically_increasing_id()))
+    per_pack = max(1, PACK // (8 * dim))
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, centres = shared.value
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(list, ids, q, bound): the queries that probe a list, in packs, with a bound of each one's (k + 1)-th distance."""
+        turn, centres, seen = shared.value
         for batch in batches:
-            if len(batch):
-                x = unit(_matrix(batch.column("v"))) @ turn
-                near = np.argpartition(-(x @ centres.T), probes - 1, axis=1)[:, :probes].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(near), pa.list_(pa.int32()))], ["key", "v", "lists"])
+            raw, qid = _matrix(batch.column("v")) if len(batch) else np.zeros((0, dim)), batch.column("qid").to_numpy()
+            for a in range(0, len(raw), 1024):
+                x = (unit(raw[a : a + 1024]) @ turn).astype(np.float32)
+                near = np.argpartition(-(x @ centres.T), probes - 1, axis=1)[:, :probes]
+                bound = np.full(len(x), np.float32(8))
+                if len(seen) > k:
+                    bound = (2 - 2 * np.partition(x @ seen.T, len(seen) - k - 1, axis=1)[:, len(seen) - k - 1]).astype(np.float32)
+                order = np.argsort(near.ravel(), kind="stable")
+                who, where = order // probes, near.ravel()[order]
+                cut = np.flatnonzero(np.r_[True, where[1:] != where[:-1], True])
+                rows = [(where[i], who[c : min(c + per_pack, j)]) for i, j in zip(cut[:-1], cut[1:]) for c in range(i, j, per_pack)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([r[0] for r in rows], pa.int32()), pa.array([qid[a + r[1]] for r in rows], pa.list_(pa.int64())),
+                        pa.array([raw[a + r[1]].tobytes() for r in rows], pa.binary()), pa.array([bound[r[1]].tobytes() for r in rows], pa.binary()),
+                    ], ["list", "ids", "q", "bound"],
+                )
 
-    asked = one(usable(queries.select(F.col(vec_id).cast("long").alias("id"), F.col(vec).alias("v")), "v").where("id is not null"))
-    texts = asked.select("key", "v").distinct()  # equal queries are searched once
-    ways = texts.mapInArrow(probe, f"key long, v {kind}, lists array<int>")
-    ways = ways.select("key", "v", F.explode("lists").alias("near")).join(blocks, F.col("near") == F.col("to_list")).select("key", "v", "to_list", "to_block")
-
-    def within(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        keys, asked_, ids, scores = [], [], [], []
-        if len(left) and len(right):
-            raw = np.stack(left["v"].to_numpy()).astype(np.float64)
-            turn = shared.value[0]
-            x = unit(raw) @ turn
-            length = np.sqrt((raw * raw).sum(1))
-            for own, given in zip(right["key"], right["v"]):
-                q = np.asarray(given, np.float64)
-                at, _ = scan(unit(q[None])[0] @ turn, x, k + 1, np.inf)
-                cos = (raw[at] * q).sum(1) / (length[at] * np.sqrt((q * q).sum()))
-                if len(at) > k + 1:  # the best, and all that tie with the last of them
-                    stay = cos >= np.partition(cos, -k - 1)[-k - 1]
-                    at, cos = at[stay], cos[stay]
-                keys += [own] * len(at)
-                asked_ += [given] * len(at)
-                ids += list(left["ids"].to_numpy()[at])
-                scores += cos.tolist()
-        return pd.DataFrame({"key": pd.Series(keys, dtype="int64"), "v": asked_, "ids": ids, "score": pd.Series(scores, dtype="float64")})
-
-    found = placed.groupBy("list", "block").cogroup(ways.groupBy("to_list", "to_block")).applyInPandas(within, f"key long, v {kind}, ids array<long>, score double")
+    packs = distinct.select("qid", "v").mapInArrow(pack, "list int, ids array<long>, q binary, bound binary")
+    packs = packs.join(blocks, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).cast("byte").alias("side"), F.lit(None).cast(kind).alias("v"), "ids", "q", "bound")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks, each followed by the packs that probe it."""
+        turn = shared.value[0]
+        at: tuple | None = None
+        parts: list[pa.RecordBatch] = []
+        x = raw = ids = None
+        for batch in batches:
+            where = np.stack([batch.column(c).to_numpy() for c in ("list", "block", "side")], 1) if len(batch) else np.zeros((0, 3), int)
+            cut = np.flatnonzero(np.r_[True, np.any(where[1:] != where[:-1], axis=1), True]) if len(batch) else np.zeros(1, int)
+            for i, j in zip(cut[:-1], cut[1:]):
+                group, side, rows = tuple(where[i, :2]), where[i, 2], batch.slice(i, j - i)
+                if group != at:
+                    at, parts, x = group, [], None
+                if not side:
+                    parts.append(rows)
+                    continue
+                if not parts:
+                    continue
+                if x is None:
+                    t = pa.Table.from_batches(parts).combine_chunks()
+                    raw = scaled(_matrix(t.column("v").chunk(0)))
+                    x, ids = (unit(raw) @ turn).astype(np.float32), t.column("ids")
+                out: list[tuple] = []
+                for qid, q, bound in zip(rows.column("ids").to_pylist(), rows.column("q").to_pylist(), rows.column("bound").to_pylist()):
+                    own = scaled(np.frombuffer(q, np.float64).reshape(-1, dim))
+                    who, what = scan((unit(own) @ turn).astype(np.float32), x, np.frombuffer(bound, np.float32))
+                    cos = cosines(raw[what], own[who])
+                    order = np.lexsort((-cos, who))
+                    who, what, cos = who[order], what[order], cos[order]
+                    begin = np.searchsorted(who, who)
+                    last = cos[np.minimum(begin + k, np.searchsorted(who, who, "right") - 1)]
+                    stay = cos >= last  # the best k + 1, and all that tie with the last of them
+                    out.append((np.asarray(qid)[who[stay]], what[stay], cos[stay]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([o[0] for o in out])), ids.take(pa.array(np.concatenate([o[1] for o in out]))).combine_chunks(), pa.array(np.concatenate([o[2] for o in out]))], ["qid", "ids", "score"],
+                )
+
+    key = ["list", "block"]
+    scanned = candidates.union(packs).repartition(*key).sortWithinPartitions(*key, "side")
+    found = scanned.mapInArrow(meet, "qid long, ids array<long>, score double")
     # per query vector the k + 1 best ids, its own still among them
     order = [F.desc("score"), F.col("vec_id")]
-    best = found.select("key", "v", "score", F.explode("ids").alias("vec_id")).withColumn("r", F.row_number().over(W.partitionBy("key", "v").orderBy(*order))).where(F.col("r") <= k + 1)
-    each = asked.withColumnRenamed("id", "query_id").join(best.drop("r"), ["key", "v"]).where("query_id <> vec_id")
+    best = found.select("qid", "score", F.explode("ids").alias("vec_id")).withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(*order))).where(F.col("r") <= k + 1)
+    best = materialise(best.drop("r"))
+    each = asked.join(distinct, ["key", "v"]).select(F.col("id").alias("query_id"), "qid").join(best, "qid").where("query_id <> vec_id")
     ranked = each.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+    discard(placed, same)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
