@@ -5,7 +5,7 @@ sample of a distance.  Each vector belongs to the list of its nearest centroid (
 a query probes is fitted too: on the sample, brute force tells the true neighbours, and as many lists are probed as find
 ``TARGET`` of them there.  Where vectors have structure that is few lists; where they have none, most.
 
-A query's distances to the sample, whose vectors are candidates themselves, bound its k-th best distance from the start.
+A query's distances to the sample, whose vectors in its lists are candidates themselves, bound its k-th best distance from the start.
 It then scans its lists column block by column block: from the partial squared distance over d of D columns a
 hypothesis test decides whether a candidate can still be within the bound, and gives it up if not.  Those that stay are
 measured exactly on the original vectors in double precision.
@@ -159,10 +159,10 @@ def search(
     lists = int(min(MAX_LISTS, max(1, n // per_list), max(1, len(seen) // 4)))
     centres, enough = fitted(seen, lists, k)
     probes = lists if len(seen) < 4 * k * max(1, lists) else min(lists, probes or enough)
-    shared = spark.sparkContext.broadcast((turn, centres, seen))  # bounded by SAMPLE and MAX_LISTS
+    shared = spark.sparkContext.broadcast((turn, centres, seen, (seen @ centres.T).argmax(1)))  # bounded by SAMPLE and MAX_LISTS
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, centres, _ = shared.value
+        turn, centres, _, _ = shared.value
         for batch in batches:
             x = unit(_matrix(batch.column("v"))) @ turn if len(batch) else np.zeros((0, dim))
             near = (x @ centres.T).argmax(1)
@@ -181,15 +181,18 @@ def search(
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(list, ids, q, bound): the queries that probe a list, in packs, with a bound of each one's (k + 1)-th distance."""
-        turn, centres, seen = shared.value
+        turn, centres, seen, of = shared.value
         for batch in batches:
             raw, qid = _matrix(batch.column("v")) if len(batch) else np.zeros((0, dim)), batch.column("qid").to_numpy()
             for a in range(0, len(raw), 1024):
                 x = (unit(raw[a : a + 1024]) @ turn).astype(np.float32)
                 near = np.argpartition(-(x @ centres.T), probes - 1, axis=1)[:, :probes]
                 bound = np.full(len(x), np.float32(8))
-                if len(seen) > k:
-                    bound = (2 - 2 * np.partition(x @ seen.T, len(seen) - k - 1, axis=1)[:, len(seen) - k - 1]).astype(np.float32)
+                if len(seen) > k:  # of the sample's vectors in the lists that are probed
+                    mine = np.zeros((len(x), len(centres)), bool)
+                    np.put_along_axis(mine, near, True, 1)
+                    like = np.where(mine[:, of], x @ seen.T, np.float32(-3))
+                    bound = (2 - 2 * np.partition(like, len(seen) - k - 1, axis=1)[:, len(seen) - k - 1]).astype(np.float32)
                 order = np.argsort(near.ravel(), kind="stable")
                 who, where = order // probes, near.ravel()[order]
                 cut = np.flatnonzero(np.r_[True, where[1:] != where[:-1], True])
