@@ -1,13 +1,14 @@
 """URL block and allow lists, in DataFrame functions only.
 
-Every URL is expanded into the (host suffix, path prefix) expressions whose shapes occur among the rules; the
-expressions meet the rules in an equi-join on a 32-bit prefix of their SHA-256, the full digests confirm a meeting,
-and the longest rule that fits decides.  The number of shapes is bounded by the rules' label counts and path lengths,
-not by their number, so a million rules cost no more expressions than these five.
+Every URL is expanded into the (host suffix, path prefix) expressions whose shapes (label count, path length) occur among the rules; the
+expressions meet the rules in an equi-join on a 32-bit prefix of their SHA-256, then the full digests confirm a meeting,
+and the longest rule that fits decides.  The shapes are one array in the plan, however many; a URL has expressions only of those
+that its own labels and path can have.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,31 +71,22 @@ def judge_urls(urls: DataFrame, rules: DataFrame, keys: Iterable[str] = ("page_i
     beyond, the join is by shuffle and adaptive execution splits a hot host's partition.
     """
     keys = list(keys)
-    shapes = sorted((r[0], r[1]) for r in rules.select("n_labels", "path_chars").distinct().collect())  # bounded: labels and lengths
+    shapes = sorted((r[0], r[1]) for r in rules.select("n_labels", "path_chars").distinct().collect())  # labels and lengths, not rules
     held = [f"k{i}" for i in range(len(keys))]
     d = urls.select(*[F.col(k).alias(h) for k, h in zip(keys, held)], F.col(url).alias("u"))
-    d = d.withColumns({"h": url_host(F.col("u")), "p": url_path(F.col("u"))}).withColumn("n", labels_of(F.col("h")))
-    each = [
-        F.when((F.col("n") >= k) & (F.length("p") >= c), F.concat(F.substring_index("h", ".", -k), F.substring("p", 1, c)))
-        for k, c in shapes
-    ]
-    expressions = F.array_compact(F.array(*each)) if each else F.array().cast("array<string>")
-    d = d.select(*held, "u", F.posexplode_outer(expressions).alias("at", "e"))
-    d = d.select(*held, "u", "at", F.sha2("e", 256).alias("digest")).withColumn("short", F.substring("digest", 1, 8))
-    met = d.join(rules, (F.col("short") == F.col("rule_short")) & (F.col("digest") == F.col("rule_digest")), "left")
-    best = met.groupBy(*held, "u").agg(
-        F.max("precedence").alias("best"), F.sum(F.when(F.coalesce(F.col("at"), F.lit(0)) == 0, 1).otherwise(0)).alias("copies")
-    )
-    best = best.withColumns({"h": url_host(F.col("u")), "p": url_path(F.col("u"))})
+    d = d.withColumns({"h": url_host(F.col("u")), "p": url_path(F.col("u")), "row": F.monotonically_increasing_id()}).withColumn("n", labels_of(F.col("h")))
+    d = d.withColumn("shapes", F.from_json(F.lit(json.dumps([{"k": k, "c": c} for k, c in shapes])), "array<struct<k: int, c: int>>"))
+    fits = "filter(shapes, s -> s.k <= n and s.c <= length(p))"
+    d = d.select("row", *held, "h", "p", F.expr(f"explode_outer(transform({fits}, s -> concat(substring_index(h, '.', -s.k), substring(p, 1, s.c))))").alias("e"))
+    d = d.withColumn("digest", F.sha2("e", 256)).withColumn("short", F.substring("digest", 1, 8))
+    met = d.join(rules, F.col("short") == F.col("rule_short"), "left")  # a meeting on the prefix
+    met = met.withColumn("confirmed", F.when(F.col("digest") == F.col("rule_digest"), F.col("precedence")))
+    best = met.groupBy("row", *held, "h", "p").agg(F.max("confirmed").alias("best"))
     host_chars = F.floor(F.col("best") % SPAN / 2).cast("int")
     path_chars = F.floor(F.col("best") / SPAN).cast("int") - host_chars
     rule = F.when(F.col("best").isNotNull(), F.concat(F.right(F.col("h"), host_chars), F.left(F.col("p"), path_chars)))
     verdict = F.when(F.col("best").isNull(), F.lit(default)).when(F.col("best") % 2 == 1, "block").otherwise("allow")
-    out = best.select(
-        *[F.col(h).alias(k) for k, h in zip(keys, held)], F.col("h").alias("host"), F.col("p").alias("path"),
-        rule.alias("rule"), verdict.alias("verdict"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
-    )
-    return out.drop("copy")
+    return best.select(*[F.col(h).alias(k) for k, h in zip(keys, held)], F.col("h").alias("host"), F.col("p").alias("path"), rule.alias("rule"), verdict.alias("verdict"))
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
