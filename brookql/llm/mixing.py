@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import WORD, table
+from .shared import WORD, materialise, table
 
 UNIT = 1_000_000_000
 SPREAD = 256
@@ -61,14 +61,15 @@ def plan_mix(docs: DataFrame, carry: list[str] | None = None, weights: tuple[int
 
     Null or blank texts have size 0; they expect copies like any other document of their source, and take no words.  A
     null source is a source of its own, last in order.  A source without words gets target 0 and no copies; an empty table
-    gives an empty plan.  Equal rows are kept apart and may get different numbers of copies.  Sources hold at most
+    gives an empty plan.  Equal rows are kept apart and may get different numbers of copies; rows that differ anywhere have a fixed order, so reruns agree.  Sources hold at most
     3e9 documents a bucket.
     """
     carry = docs.columns if carry is None else carry
+    whole = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
     d = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), n_words(F.col("text")).alias("size"),
         F.col("source").isNull().alias("s_null"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("s"),
-        F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"),
+        F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"), F.xxhash64(*[F.col(f"`{c}`") for c in whole]).alias("row_tie"),
     )
     bucket = stratum(F.col("size")) * SPREAD + F.pmod(F.coalesce(F.col("id"), F.lit(0)).cast("long"), F.lit(SPREAD))
     keys = ["s_null", "s", "bucket"]
@@ -76,6 +77,7 @@ def plan_mix(docs: DataFrame, carry: list[str] | None = None, weights: tuple[int
         n_words(F.col("text")).alias("size"), F.col("source").isNull().alias("s_null"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("s"), F.col("doc_id").alias("id"),
     ).withColumn("bucket", bucket).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    narrow = materialise(narrow)  # a row for each bucket: words are counted once for it, once for the rows
     per_copy = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT)).otherwise(0).cast("long")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("s_null").cast("string"), F.lit("|"), F.col("s")).cast("binary")), 1, 8), 16, 10)
     before = F.sum(F.col("n") * F.col("e") % UNIT).over(W.partitionBy("s_null", "s").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
@@ -84,7 +86,7 @@ def plan_mix(docs: DataFrame, carry: list[str] | None = None, weights: tuple[int
         .withColumn("start", (F.coalesce(before, F.lit(0)) + offset.cast("long") % UNIT) % UNIT)
         .select(*keys, "source_size", "target", "e", "start")
     )
-    order = W.partitionBy(*keys).orderBy("size", "id", "tie").rowsBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy(*keys).orderBy("size", "id", "tie", "row_tie").rowsBetween(W.unboundedPreceding, 0)
     d = d.withColumn("bucket", bucket).join(buckets, keys).withColumn("upto", F.col("start") + F.sum("e").over(order))
     copies = F.expr(f"upto div {UNIT} - (upto - e) div {UNIT}")
     return d.select("row", "size", "source_size", "target", copies.cast("long").alias("copies"))
