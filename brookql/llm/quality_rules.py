@@ -19,8 +19,6 @@ from .shared import SPACE, table
 BUCKETS = 1 << 14
 SMOOTHING = 1.0
 THRESHOLD = -0.25
-#: Trusted documents at most: those with the smallest hash of their id among the rows labelled good.
-TRUSTED = 20_000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 TOKEN = r"[\p{L}\p{M}]+|\p{N}+|[^\p{L}\p{M}\p{N}\s]+"
@@ -80,7 +78,7 @@ def grams(text: str = "text") -> Column:
 def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text") -> list[float]:
     """The log ratio of each bucket: counts of all of ``docs``, and of those whose doc_id is in ``trusted``."""
     marked = trusted.select(F.col("doc_id").alias("_id"), F.lit(1).alias("_good"))
-    d = docs.join(F.broadcast(marked), F.col("doc_id") == F.col("_id"), "left")
+    d = docs.join(marked, F.col("doc_id") == F.col("_id"), "left")  # broadcast only while Spark's size threshold allows it
     counts = d.select(F.explode(grams(text)).alias("b"), F.coalesce(F.col("_good"), F.lit(0)).alias("g")).groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("g").alias("g"))
     raw, good = [0] * BUCKETS, [0] * BUCKETS
     for b, n, g in counts.collect():  # at most BUCKETS rows
@@ -99,13 +97,13 @@ def with_score(docs: DataFrame, ratios: list[float], text: str = "text") -> Data
     return d.withColumn("score", F.when(F.size("_grams") > 0, total / F.size("_grams")).otherwise(0.0)).drop("_grams")
 
 
-def judge(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, threshold: float = THRESHOLD) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Every row of ``docs`` with the base counts, base_failed, score and kept (columns so named are replaced).
 
     Without any trusted document all scores are 0, and the base counts alone decide.  Repeated rows are judged each; the
-    statistics count them as often as they come.
+    statistics count them as often as they come.  Every document labelled good is trusted, even where another label of its id contradicts.
     """
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted)
+    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     ratios = log_ratios(docs.select("doc_id", "text"), good)
     d = with_score(base_counts(docs), ratios)
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
