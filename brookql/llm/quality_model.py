@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytes_np as bn
-from .shared import crc_mod, label_sample, table
+from .shared import crc_mod, label_sample, labelled_texts, table
 
 VOCAB, DIM, NONZERO, WINDOW = 1 << 13, 32, 2, 2
 #: Labelled rows that are learned from, at most.
@@ -137,7 +137,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, folds: int = FOLDS, held_out: int = HELD_OUT) -> tuple[np.ndarray, Network]:
-    """Word vectors from every text of ``docs``, and a network from the texts of at most ``sample`` labelled ids."""
+    """Word vectors from every text of ``docs``, and a network from the whole texts of at most ``sample`` labelled ids, one text an id."""
     vectors = word_vectors(word_sums(docs))
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(vectors)
@@ -147,8 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
             x = pooled(batch.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
 
-    chosen = F.broadcast(label_sample(labels, label, sample, folds, held_out))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("y", "text").mapInArrow(features, "y int, x array<double>").collect()
+    chosen = label_sample(labels, label, sample, folds, held_out)
+    rows = labelled_texts(docs, chosen).select("y", "text").mapInArrow(features, "y int, x array<double>").collect()  # at most ``sample`` rows of fixed size
     rows = sorted((r[0], r[1]) for r in rows)
     return vectors, Network(np.array([r[1] for r in rows]).reshape(len(rows), DIM + 1), np.array([r[0] for r in rows], int))
 

@@ -83,3 +83,10 @@ def label_sample(labels: DataFrame, label: str, bound: int, m: int, held_out: in
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     )
+
+
+def labelled_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, y, text): one row for each of the ``chosen`` ids, however often it comes; of several texts that with the smallest hash."""
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return one.select("doc_id", "y", "t.text")
