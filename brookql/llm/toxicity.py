@@ -2,9 +2,9 @@
 
 Tokens (runs of letters or of digits, A-Z lower-cased) have embeddings in three hashed tables, by the whole token and by
 its first six and four bytes, so that two words rarely share all and words of one stem share some.  Filters one, two and three tokens wide run over a whole text, each keeps its largest value, and a logistic layer
-weighs them.  The first column of each table starts from the shrunk log-odds of its bucket, the rest from small noise; all
-is then trained by Adagrad through the windows that won.  The language is guessed from the text's own function
-words; each language has a threshold, fitted on rows held out of the sample, that the score puts at one half.
+weighs them.  All parameters start from small random values and are trained by Adagrad through the windows that won.
+Languages aren't given: texts of the sample are grouped by the frequent tokens that they use (k-means), which tells languages
+apart, and each group has a threshold, fitted on rows held out of the sample, that the score puts at one half.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bytes_np as bn
-from .shared import crc_mod, label_sample, table, trimmed
+from .shared import crc_mod, label_sample, labelled_texts, table, trimmed
 
 BITS, HALF, FILTERS, WIDTHS = 15, 8, 8, (1, 2, 3)
 STEMS = (None, 6, 4)
@@ -25,31 +26,23 @@ TABLES = len(STEMS)
 BUCKETS, DIM, PAD = 1 << BITS, TABLES * HALF, 1 << BITS
 #: Labelled rows that are learned from, at most.
 SAMPLE = 4_000
-EPOCHS, BATCH, RATE = 6, 32, 0.05
+#: Bytes of their texts, at most.
+MOST_BYTES = 64 << 20
+EPOCHS, BATCH, RATE, START = 12, 32, 0.05, 0.05
 FOLDS, HELD_OUT = 5, 0
-#: Texts of one language that a threshold of its own needs, and those of each class.
+#: Held-out texts of one group that a threshold of its own needs, and those of each class.
 ENOUGH, ENOUGH_EACH = 60, 10
-FUNCTION_WORDS = (
-    "the of and to in is that for it with as was on are this",
-    "der die und das den von zu mit ist nicht ein eine dem des auf",
-    "le les des et un une du est que dans qui pour par la au",
-    "el los las y del que en con por una se su al lo es",
-)
+#: Groups of texts, and the frequent tokens that tell them apart.
+GROUPS, FREQUENT = 6, 256
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    data = [np.frombuffer(w.encode(), np.uint8) for w in words]
-    ends = np.cumsum([len(d) for d in data])
-    return bn.Hasher(np.concatenate(data))(ends - np.array([len(d) for d in data]), ends)
-
-
-def language_codes() -> np.ndarray:
-    """The language (1 to 4) whose function word a bucket of the first table holds, else 0."""
-    codes = np.zeros(BUCKETS + 1, np.int64)
-    for k, words in enumerate(FUNCTION_WORDS, 1):
-        mine = (word_hashes(words.split()) & np.uint64(BUCKETS - 1)).astype(np.int64)
-        codes[mine] = np.where(codes[mine] == 0, k, 0)
-    return codes
+def _counts(ids: np.ndarray, starts: np.ndarray, column: np.ndarray, width: int) -> np.ndarray:
+    """How often each text has each frequent token, as square roots of shares."""
+    row = bn.row_of(starts)
+    at = column[ids]
+    fine = at >= 0
+    n = np.bincount(row[fine] * width + at[fine], minlength=(len(starts) - 1) * width).reshape(-1, width)
+    return np.sqrt(n / np.maximum(n.sum(1, keepdims=True), 1))
 
 
 def encode(column: pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -70,34 +63,42 @@ class Model:
     """Parameters; ``prior`` alone if there was nothing to learn from."""
 
     def __init__(self, docs: list[np.ndarray], y: np.ndarray) -> None:
-        self.codes, self.prior = language_codes(), None
+        self.prior = None
         if len(y) < 20 or len(set(y.tolist())) < 2:
             self.prior = float(y.mean()) if len(y) else 0.5
             return
         rng = np.random.default_rng(11)
         order = rng.permutation(len(y))
         held, used = order[: len(y) // 4], order[len(y) // 4 :]
-        self.e = [rng.normal(0, 0.02, (BUCKETS + 1, HALF)) for _ in range(TABLES)]
-        for t in range(TABLES):
-            self.e[t][:BUCKETS, 0] = self._log_odds([docs[i][t] for i in used], y[used])
-            self.e[t][PAD] = 0
-        self.w = [rng.normal(0, 0.05, (width, DIM, FILTERS)) for width in WIDTHS]
-        for w in self.w:
-            w[:, ::HALF, : FILTERS // 2] += 1.0 / len(w)
-        self.v, self.c = np.concatenate([np.r_[np.ones(FILTERS // 2), np.zeros(FILTERS // 2)] for _ in WIDTHS]) + rng.normal(0, 0.05, len(WIDTHS) * FILTERS), np.zeros(1)
+        self.e = [rng.normal(0, START, (BUCKETS + 1, HALF)) for _ in range(TABLES)]
+        for e in self.e:
+            e[PAD] = 0
+        self.w = [rng.normal(0, (width * DIM) ** -0.5, (width, DIM, FILTERS)) for width in WIDTHS]
+        self.v, self.c = rng.normal(0, 0.3, len(WIDTHS) * FILTERS), np.zeros(1)
         self._train([docs[i] for i in used], y[used].astype(float), rng)
-        self.thresholds = np.zeros(len(FUNCTION_WORDS) + 1)
+        self._group([docs[i][0] for i in used], rng)
+        self.thresholds = np.zeros(GROUPS + 1)
         self._calibrate([docs[i] for i in held], y[held])
 
-    @staticmethod
-    def _log_odds(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-        have = np.zeros((2, BUCKETS + 1))
-        for d, t in zip(docs, y):
-            have[t, np.unique(d)] += 1
-        n = np.bincount(y, minlength=2)[:, None]
-        rate = (have + 0.5) / (n + 1)
-        seen = have.sum(0)
-        return ((np.log(rate[1]) - np.log(rate[0])) * seen / (seen + 20))[:BUCKETS] / 4
+    def _group(self, docs: list[np.ndarray], rng: np.random.Generator) -> None:
+        """Centres of the groups, over the tokens that most texts of the sample use."""
+        used = np.zeros(BUCKETS + 1, np.int64)
+        for d in docs:
+            used[np.unique(d)] += 1
+        used[PAD] = 0
+        often = np.argsort(-used, kind="stable")[:FREQUENT]
+        self.column = np.full(BUCKETS + 1, -1, np.int64)
+        self.column[often] = np.arange(FREQUENT)
+        x = _counts(np.concatenate(docs), np.r_[0, np.cumsum([len(d) for d in docs])], self.column, FREQUENT)
+        x = x[x.any(1)]
+        c = x[:1] if len(x) else np.zeros((1, FREQUENT))
+        while len(c) < GROUPS and len(x):  # the next centre is the text that is least like those there are
+            c = np.concatenate([c, x[(x @ c.T).max(1).argmin()][None]])
+        for _ in range(10):
+            near = (x @ c.T).argmax(1)
+            c = np.stack([x[near == k].mean(0) if (near == k).any() else c[k] for k in range(len(c))])
+            c /= np.maximum(np.sqrt((c * c).sum(1, keepdims=True)), 1e-9)
+        self.centres = c
 
     def _maxima(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Largest filter values of each text, where they stand, and the joined buckets."""
@@ -150,7 +151,7 @@ class Model:
 
     def _calibrate(self, docs: list, y: np.ndarray) -> None:
         z = np.concatenate([np.maximum(self._maxima([d])[0], 0) @ self.v + self.c for d in docs])
-        lang = np.array([self.language(d[0], np.array([0, d.shape[1]]))[0] for d in docs])
+        lang = np.array([self.group(d[0], np.array([0, d.shape[1]]))[0] for d in docs])
 
         def cut(z: np.ndarray, y: np.ndarray) -> float:
             order = np.argsort(z, kind="stable")
@@ -166,16 +167,14 @@ class Model:
             if mine.sum() >= ENOUGH and min((y[mine] == 1).sum(), (y[mine] == 0).sum()) >= ENOUGH_EACH:
                 self.thresholds[k] = cut(z[mine], y[mine])
 
-    def language(self, one: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        n = len(self.thresholds) if hasattr(self, "thresholds") else len(FUNCTION_WORDS) + 1
-        row = bn.row_of(starts)
-        counts = np.bincount(row * n + self.codes[one], minlength=(len(starts) - 1) * n).reshape(-1, n)
-        counts[:, 0] = 0
-        return counts.argmax(1)  # 0: no function word
+    def group(self, one: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The group of each text, from 1; 0 without any frequent token."""
+        x = _counts(one, starts, self.column, FREQUENT)
+        return np.where(x.any(1), (x @ self.centres.T).argmax(1) + 1, 0)
 
     def ready(self) -> Model:
         """With each bucket's part of every filter worked out, for scoring."""
-        if self.prior is None:
+        if self.prior is None and not hasattr(self, "parts"):
             flat = np.concatenate([w[k] for w in self.w for k in range(len(w))], 1)  # DIM x (taps * FILTERS)
             self.parts = [(e @ flat[t * HALF : (t + 1) * HALF]).astype(np.float32) for t, e in enumerate(self.e)]
             del self.e
@@ -200,7 +199,7 @@ class Model:
                     last = (starts[c + 1 : d + 1] - starts[c])[:, None] - np.array([2, 1])
                     y[last[last < n]] = -np.inf
                     top[c:d, j * FILTERS : (j + 1) * FILTERS] = np.maximum.reduceat(y, starts[c:d] - starts[c], axis=0)
-            z = np.maximum(top, 0) @ self.v + self.c - self.thresholds[self.language(ids[0], starts)]
+            z = np.maximum(top, 0) @ self.v + self.c - self.thresholds[self.group(ids[0], starts)]
             out[a:b] = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
         return out
 
@@ -214,8 +213,9 @@ def _runs(starts: np.ndarray, most: int = 100_000) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, folds: int = FOLDS, held_out: int = HELD_OUT) -> Model:
-    """A model from the whole texts of at most ``sample`` labelled ids outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, folds: int = FOLDS, held_out: int = HELD_OUT, most_bytes: int = MOST_BYTES) -> Model:
+    """A model from the whole texts of at most ``sample`` labelled ids outside the held-out fold, one text an id, as many as
+    ``most_bytes`` hold (in order of a hash of the id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,8 +224,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
                 found += [ids[:, i:j].astype(np.uint16).tobytes() for i, j in zip(starts[:-1], starts[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["y", "ids"])
 
-    chosen = F.broadcast(label_sample(labels, label, sample, folds, held_out))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("y", "text").mapInArrow(run, "y int, ids binary").collect()
+    texts = labelled_texts(docs, label_sample(labels, label, sample, folds, held_out)).withColumn("upto", F.sum(F.octet_length("text")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id")))
+    rows = texts.where(F.col("upto") <= most_bytes).select("y", "text").mapInArrow(run, "y int, ids binary").collect()
     rows = sorted((r[0], bytes(r[1])) for r in rows)
     return Model([np.frombuffer(x, np.uint16).astype(np.int64).reshape(TABLES, -1) for _, x in rows], np.array([r[0] for r in rows], int))
 
