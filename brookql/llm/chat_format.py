@@ -1,20 +1,23 @@
 """Chat formatting: a small sandboxed template language, compiled to Python closures.
 
 Text is parsed into a syntax tree, constants are folded, and each node becomes a closure.  The language has
-``{{ expr }}``, ``{% for x in y %}``, ``{% if %}``/``{% elif %}``/``{% else %}``, ``{% generation %}`` (marks what a
-model is trained to say) and ``{# comments #}``.  Expressions have names, attributes of mappings, string and integer
-literals, ``+``, ``==``, ``!=``, ``not``, ``and``, ``or``, parentheses and the filters given at compile time.  There is no way
-to reach a Python attribute, call or import.
+``{{ expr }}``, ``{% for x in y %}``, ``{% if %}``/``{% elif %}``/``{% else %}``, ``{% set x = expr %}``, ``{% generation %}`` (marks what a
+model is trained to say) and ``{# comments #}``.  Expressions have names, attributes and items of mappings, items of messages by number, string and integer
+literals, ``+``, ``==``, ``!=``, ``not``, ``and``, ``or``, parentheses and the filters given at compile time.  Within a loop, ``loop`` has
+index, index0, first, last, previtem and nextitem.  There is no way to reach a Python attribute, call or import.
 
-Rendering is a generator over an iterator of messages, so a conversation of any length needs the memory of one message.
+A template renders a whole conversation.  Rendering is a generator over an iterator of messages that looks one message ahead, so a
+conversation of any length needs the memory of three messages, and of those before the largest number that the template asks for.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 from typing import Any
 
 import pandas as pd
@@ -74,6 +77,12 @@ class Attr:
     name: str
 
 
+@dataclass(frozen=True)
+class Item:
+    of: Any
+    at: Any
+
+
 @dataclass(frozen=True)
 class Op:
     op: str
@@ -103,13 +112,19 @@ class If:
     branches: tuple  # of (condition, body)
 
 
+@dataclass(frozen=True)
+class Set:
+    name: str
+    expr: Any
+
+
 @dataclass(frozen=True)
 class Generation:
     body: tuple
 
 
 _PIECE = re.compile(r"\{\{(.*?)\}\}|\{%(.*?)%\}|\{#.*?#\}", re.S)
-_TOKEN = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(\d+)|([A-Za-z_]\w*)|(==|!=|[+|.()]))")
+_TOKEN = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(\d+)|([A-Za-z_]\w*)|(==|!=|[+|.()\[\]]))")
 _WORDS = {"and", "or", "not"}
 
 
@@ -188,9 +203,14 @@ class _Expr:
         if kind != 3 or text in _WORDS:
             raise TemplateError(f"unexpected {text!r}")
         node: Any = Name(text)
-        while self.peek("."):
+        while self.peek(".", "["):
+            if self.take() == ".":
+                node = Attr(node, self.take(3))
+                continue
+            node = Item(node, self.either())
+            if not self.peek("]"):
+                raise TemplateError("a bracket isn't closed")
             self.take()
-            node = Attr(node, self.take(3))
         return node
 
 
@@ -240,6 +260,11 @@ def parse(template: str) -> tuple:
                             break
                         head = end
                     body.append(If(tuple(branches)))
+                elif word == "set":
+                    m = re.fullmatch(r"set\s+([A-Za-z_]\w*)\s*=\s*(.+)", text, re.S)
+                    if not m or m[1] == "loop":
+                        raise TemplateError(f"can't read {text!r}")
+                    body.append(Set(m[1], _Expr(m[2]).whole()))
                 elif word == "generation":
                     inner, _ = block("endgeneration")
                     body.append(Generation(inner))
@@ -288,6 +313,10 @@ def fold(node: Any, filters: dict[str, Callable[[str], str]]) -> Any:
         return Const(filters[node.name](_text(of.value))) if isinstance(of, Const) else Filter(of, node.name)
     if isinstance(node, Attr):
         return Attr(fold(node.of, filters), node.name)
+    if isinstance(node, Item):
+        return Item(fold(node.of, filters), fold(node.at, filters))
+    if isinstance(node, Set):
+        return Set(node.name, fold(node.expr, filters))
     if isinstance(node, Out):
         return Out(fold(node.expr, filters))
     if isinstance(node, For):
@@ -310,6 +339,41 @@ def fold(node: Any, filters: dict[str, Callable[[str], str]]) -> Any:
 Env = dict[str, Any]
 
 
+class Messages:
+    """Messages read once, in order; items by number are looked ahead and kept for the loop (the first ``keep`` for good)."""
+
+    def __init__(self, source: Iterable[dict], keep: int = 0) -> None:
+        self.source, self.ahead, self.first, self.keep = iter(source), deque(), [], keep
+
+    def __getitem__(self, i: int) -> dict | None:
+        while len(self.first) <= i < self.keep and (m := next(self.source, None)) is not None:
+            self.first.append(m)
+            self.ahead.append(m)
+        return self.first[i] if 0 <= i < len(self.first) else None
+
+    def __iter__(self) -> Iterator[dict]:
+        while True:
+            if self.ahead:
+                yield self.ahead.popleft()
+                continue
+            m = next(self.source, None)
+            if m is None:
+                return
+            if len(self.first) < self.keep:
+                self.first.append(m)
+            yield m
+
+
+def largest_number(node: Any) -> int:
+    """The largest constant number that the template takes an item by, or -1."""
+    if isinstance(node, Item):
+        own = node.at.value if isinstance(node.at, Const) and isinstance(node.at.value, int) else -1
+        return max(own, largest_number(node.of), largest_number(node.at))
+    if isinstance(node, tuple):
+        return max(map(largest_number, node), default=-1)
+    return max((largest_number(v) for v in vars(node).values()), default=-1) if hasattr(node, "__dataclass_fields__") else -1
+
+
 def _value(node: Any, filters: dict[str, Callable[[str], str]]) -> Callable[[Env], Any]:
     if isinstance(node, Const):
         return lambda env, v=node.value: v
@@ -323,6 +387,16 @@ def _value(node: Any, filters: dict[str, Callable[[str], str]]) -> Callable[[Env
             return x.get(name) if isinstance(x, dict) else None
 
         return attr
+    if isinstance(node, Item):
+        holder, place = _value(node.of, filters), _value(node.at, filters)
+
+        def item(env: Env) -> Any:
+            x, at = holder(env), place(env)
+            if isinstance(x, dict):
+                return x.get(at) if isinstance(at, str) else None
+            return x[at] if isinstance(x, Messages) and isinstance(at, int) else None
+
+        return item
     if isinstance(node, Filter):
         of, f = _value(node.of, filters), filters[node.name]
         return lambda env: f(_text(of(env)))
@@ -335,6 +409,8 @@ def _value(node: Any, filters: dict[str, Callable[[str], str]]) -> Callable[[Env
     return lambda env: op(*(a(env) for a in args))
 
 
+#: What a loop over messages yields behind each of them.
+TURN = ("", None)
 #: A closure yields (piece of text, whether it is under the loss mask).
 Render = Callable[[Env, bool], Iterator[tuple[str, bool]]]
 
@@ -359,10 +435,28 @@ def _render(node: Any, filters: dict[str, Callable[[str], str]]) -> Render:
         over, body, var = _value(node.over, filters), _render(node.body, filters), node.var
 
         def loop(env: Env, on: bool) -> Iterator[tuple[str, bool]]:
-            for x in over(env) or ():
-                yield from body({**env, var: x}, on)
+            items = over(env) or ()
+            if not isinstance(items, (Messages, tuple, list)):
+                return
+            rest = iter(items)
+            before, x, k = None, next(rest, None), 0
+            while x is not None:
+                after = next(rest, None)
+                place = {"index": k + 1, "index0": k, "first": k == 0, "last": after is None, "previtem": before, "nextitem": after}
+                yield from body({**env, var: x, "loop": place}, on)
+                if isinstance(items, Messages):
+                    yield TURN
+                before, x, k = x, after, k + 1
 
         return loop
+    if isinstance(node, Set):
+        name, given = node.name, _value(node.expr, filters)
+
+        def assign(env: Env, on: bool) -> Iterator[tuple[str, bool]]:
+            env[name] = given(env)
+            return iter(())
+
+        return assign
     if isinstance(node, Generation):
         body = _render(node.body, filters)
         return lambda env, on: body(env, True)
@@ -377,11 +471,23 @@ def _render(node: Any, filters: dict[str, Callable[[str], str]]) -> Render:
     return choose
 
 
+FILTERS: dict[str, Callable[[str], str]] = {"escape": escape, "trim": str.strip, "upper": str.upper, "lower": str.lower, "length": lambda t: str(len(t))}
+
+
 def compile_template(template: str, filters: dict[str, Callable[[str], str]] | None = None) -> Callable[..., Iterator[tuple[str, bool]]]:
-    """A function of the template's variables that yields (piece, under the loss mask)."""
-    filters = {"escape": escape} if filters is None else filters
-    render = _render(fold(parse(template), filters), filters)
-    return lambda **env: render(env, False)
+    """A function of the template's variables that yields (piece, under the loss mask), and :data:`TURN` behind each message.
+
+    ``messages`` may be any iterable of mappings; one loop goes over it, once.
+    """
+    tree = fold(parse(template), FILTERS if filters is None else filters)
+    render, keep = _render(tree, FILTERS if filters is None else filters), largest_number(tree) + 1
+
+    def run(**env: Any) -> Iterator[tuple[str, bool]]:
+        if "messages" in env:
+            env["messages"] = Messages(env["messages"], keep)
+        return render(env, False)
+
+    return run
 
 
 # --- reading back -------------------------------------------------------------------------------------------------
@@ -412,7 +518,7 @@ def format_turns(conversations: DataFrame, template: str = TEMPLATE) -> DataFram
     """The formatted turns: conv_id, ``formatted`` and its loss ``mask`` (character spans), ``last`` for a conversation's last.
 
     A conversation's text is what its rows say one after the other; the rows of a conversation stand in order within one
-    partition.  ``template`` must treat each message alike (its loop renders one message at a time).  Rows are taken by
+    partition.  What ``template`` says outside its loop over messages is part of the first or last row.  Rows are taken by
     turn (null first), role and text; equal rows each count.  Null texts and roles are empty, a null conv_id is a
     conversation of its own, other columns don't matter.  Each conversation streams through a task turn by turn.
     """
@@ -423,22 +529,29 @@ def format_turns(conversations: DataFrame, template: str = TEMPLATE) -> DataFram
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         render = compile_template(template)
-        held: tuple | None = None  # the turn before: only the next one tells whether it is the last
-        for pdf in batches:
-            out = []
-            for conv, role, text in zip(pdf["conv_id"].astype("object").where(pdf["conv_id"].notna(), None), pdf["role"], pdf["text"]):
-                if held:
-                    out.append((held[0], held[0] != conv, *held[1:]))
-                pieces, mask, at = [], [], 0
-                for piece, on in render(messages=({"role": role, "text": text},)):
-                    if on:
-                        mask.append({"start": at, "chars": len(piece)})
-                    pieces.append(piece)
-                    at += len(piece)
-                held = (conv, "".join(pieces), mask)
-            yield frame(out)
-        if held:
-            yield frame([(held[0], True, *held[1:])])
+        out: list[tuple] = []
+        for conv, said in groupby(_rows(batches), key=lambda r: r[0]):
+            held: tuple | None = None  # the turn before: only the next one tells whether it is the last
+            pieces: list[str] = []
+            mask: list[dict] = []
+            at = 0
+            for piece, on in render(messages=({"role": role, "text": text} for _, role, text in said)):
+                if on is None:
+                    if held:
+                        out.append((conv, False, *held))
+                    held, pieces, mask, at = ("".join(pieces), mask), [], [], 0
+                    if len(out) >= 1000:
+                        yield frame(out)
+                        out = []
+                    continue
+                if on and piece:
+                    mask.append({"start": at, "chars": len(piece)})
+                pieces.append(piece)
+                at += len(piece)
+            text, spans = held or ("", [])
+            shifted = [{"start": len(text) + x["start"], "chars": x["chars"]} for x in mask]
+            out.append((conv, True, text + "".join(pieces), spans + shifted))
+        yield frame(out)
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         pdf = pd.DataFrame(rows, columns=["conv_id", "last", "formatted", "mask"])
@@ -447,6 +560,11 @@ def format_turns(conversations: DataFrame, template: str = TEMPLATE) -> DataFram
     return rows.mapInPandas(run, TURNS)
 
 
+def _rows(batches: Iterable[pd.DataFrame]) -> Iterator[tuple]:
+    for pdf in batches:
+        yield from zip(pdf["conv_id"].astype("object").where(pdf["conv_id"].notna(), None), pdf["role"], pdf["text"])
+
+
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
