@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brookql.llm import exact_spans, mixing, near_dups, pieces, toxicity
-from brookql.llm.shared import materialise, table
+from brookql.llm.shared import discard, materialise, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -50,14 +50,18 @@ STAGES = [
     ("mixing", mix_sources),
     ("pieces", to_pieces),
 ]
-#: Neither the models nor the suffix arrays can be said in SQL; tests hold the stages against brute force.
+#: Neither the models nor the suffix arrays can be said in SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialise(docs)
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
