@@ -109,6 +109,7 @@ class Session:
         self.flows: dict[str, FlowDef] = {}
         self.tools: dict[str, Callable[..., Any]] = {}
         self.connectors: dict[str, Any] = {}
+        self.connector: str | None = None
         self.sinks: dict[str, Callable[..., None]] = {}
         self.prepared: dict[str, list] = {}
         self.settings: dict[str, str] = {}
@@ -199,7 +200,9 @@ class Session:
             return self.explained(df)
         elif s.kind == "use":
             if p["what"] == "connector":
-                self.connector = ".".join(p["name"])
+                if p["name"][0] not in self.connectors:
+                    raise QueryError(f"no connector is called {p['name'][0]}")
+                self.connector = p["name"][0]
             else:
                 self.spark.catalog.setCurrentDatabase(".".join(p["name"]))
         elif s.kind == "show_query":
@@ -326,6 +329,8 @@ class Session:
                 df = self.model(full, [], scope)
             elif len(n) > 1 and n[0] in self.connectors:
                 df = self.connectors[n[0]].table(self.spark, ".".join(n[1:]))
+            elif self.connector and not self.spark.catalog.tableExists(full):
+                df = self.connectors[self.connector].table(self.spark, full)
             elif len(n) == 1 and full in self.bound_types and not self.spark.catalog.tableExists(full):
                 df = self.spark.table(".".join([*self.bound_types[full], full]))
             else:
