@@ -39,7 +39,10 @@ def suffix_array(data: np.ndarray, limit: int | None = None) -> np.ndarray:
         if not len(open_):
             break
         at = sa[open_]
-        key = (rank[at].astype(U) << U(32)) | (rank[np.minimum(at + width, n)] + 1).astype(U)
+        behind = at + width
+        # what ends before is less than what goes on, and the less the earlier it ends (zeros stand past the end)
+        follow = np.where(behind < n, rank[np.minimum(behind, n)] + width + 1, width - (behind - n))
+        key = (rank[at].astype(U) << U(32)) | follow.astype(U)
         order = np.argsort(key, kind="stable")
         key, at = key[order], at[order]
         sa[open_] = at
