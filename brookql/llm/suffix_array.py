@@ -122,4 +122,7 @@ def find(data: np.ndarray, sa: np.ndarray, pattern_data: np.ndarray, at: np.ndar
             go[open_] = less(sa[mid[open_]], at[open_], or_equal)
             low, high = np.where(open_ & go, mid + 1, low), np.where(open_ & ~go, mid, high)
         ends.append(low)
-    return ends[0], ends[1]
+    low, high = ends
+    while (short := (low < high) & (sa[np.minimum(low, n - 1)] + size > n)).any():  # zeros that stand past the end aren't bytes
+        low = low + short
+    return low, high
