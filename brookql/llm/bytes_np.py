@@ -14,7 +14,7 @@ PRIME = U((1 << 31) - 1)
 _AT = (1_220_703_125, 630_360_016)
 _M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 #: Bytes that are worked on at once; one longer text makes a larger block.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 SPACE, DIGIT, UPPER, LOWER, PUNCT = 0, 1, 2, 3, 4
 #: Class of each byte; all bytes of characters beyond ASCII count as lower-case letters.
