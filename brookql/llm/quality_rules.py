@@ -37,13 +37,10 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     d = docs.withColumn("_words", F.filter(F.split(t, SPACE), lambda x: x != ""))
     n = F.size("_words")
     d = d.withColumn("_h", F.transform("_words", lambda x: F.xxhash64(x)))
-    triple = F.transform(
-        F.sequence(F.lit(1), n - 2),
-        lambda i: F.xxhash64(F.element_at("_h", i), F.element_at("_h", i + 1), F.element_at("_h", i + 2)),
-    )
+    triple = F.transform(F.slice("_h", 1, n - 2), lambda x, i: F.xxhash64(x, F.get("_h", i + 1), F.get("_h", i + 2)))
     d = d.withColumn("_three", F.when(n >= 4, triple))
     again = F.size(F.array_distinct("_three")) < F.size("_three")
-    sort = F.array_sort(F.transform("_three", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    sort = F.sort_array(F.transform("_three", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))  # array_sort would call a lambda to compare
     d = d.withColumn("_sorted", F.when(F.col("_three").isNotNull() & again, sort))
     at = lambda i: F.get("_sorted", i)["x"]
     twin = F.filter(
