@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,7 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/brookql/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    trim_driver(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -52,6 +54,30 @@ def discard(*frames: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trim() -> None:
+    """Give this process's freed memory back to the machine."""
+    pa.default_memory_pool().release_unused()
+    malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if malloc_trim is not None:
+        malloc_trim(0)
+
+
+def trim_driver(spark: SparkSession) -> bool:
+    """:func:`trim` for the driver and its JVM, whose compiler threads keep what they free; False where the JVM can't."""
+    trim()
+    jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
+    names, none = ["javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"], [new_array(jvm.Object, 0), new_array(jvm.String, 0)]
+    types, values = new_array(jvm.Class, 4), new_array(jvm.Object, 4)
+    for k, x in enumerate([jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", *none]):
+        types[k], values[k] = jvm.Class.forName(names[k]), x
+    try:  # by the interface: the server's own class is closed to reflection
+        invoke = jvm.Class.forName("javax.management.MBeanServer").getMethod("invoke", types)
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JJavaError:  # another JVM, or one before 17.0.9
+        return False
+    return True
+
+
 def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run``, giving freed memory back to the machine when a task ends: Python workers outlive their tasks."""
 
@@ -60,10 +86,7 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            trim()
 
     return inner
 

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bytes_np as bn
-from .shared import crc_mod, label_sample, labelled_texts, table, trimmed
+from .shared import crc_mod, label_sample, labelled_texts, table, trim_driver, trimmed
 
 BITS, HALF, FILTERS, WIDTHS = 15, 8, 8, (1, 2, 3)
 STEMS = (None, 6, 4)
@@ -227,7 +227,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     texts = labelled_texts(docs, label_sample(labels, label, sample, folds, held_out)).withColumn("upto", F.sum(F.octet_length("text")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id")))
     rows = texts.where(F.col("upto") <= most_bytes).select("y", "text").mapInArrow(run, "y int, ids binary").collect()
     rows = sorted((r[0], bytes(r[1])) for r in rows)
-    return Model([np.frombuffer(x, np.uint16).astype(np.int64).reshape(TABLES, -1) for _, x in rows], np.array([r[0] for r in rows], int))
+    model = Model([np.frombuffer(x, np.uint16).reshape(TABLES, -1) for _, x in rows], np.array([r[0] for r in rows], int))
+    del rows
+    trim_driver(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
