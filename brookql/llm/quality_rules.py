@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from .shared import SPACE, table
 
 BUCKETS = 1 << 14
+#: Bits of the filter before the join with trusted ids.
+FILTER_BITS = 1 << 22
 SMOOTHING = 1.0
 THRESHOLD = -0.25
 MIN_WORDS = 50
@@ -72,11 +75,38 @@ def grams(text: str = "text") -> Column:
     return F.transform(F.element_at(both, 1), lambda x: (F.pmod(x, F.lit(BUCKETS)) + 1).cast("int"))
 
 
+def maybe_in(ids: DataFrame) -> Callable[[Column], Column]:
+    """Whether an id may be among the doc_ids of ``ids``: true for all that are, and for few others while those are fewer than FILTER_BITS.
+
+    One bit a hash, 64 to a word; the words have a fixed number at most, whatever the number of ids, and travel as a literal.
+    """
+    bit = lambda x: F.pmod(F.xxhash64(x.cast("string")), F.lit(FILTER_BITS))
+    at = ids.where("doc_id is not null").select(bit(F.col("doc_id")).alias("p"))
+    words = at.groupBy(F.expr("int(p div 64)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p % 64))")).alias("bits"))
+    held = [0] * (FILTER_BITS // 64)
+    for w, bits in words.collect():  # at most FILTER_BITS / 64 rows
+        held[w] = bits
+    table_ = F.from_json(F.lit(json.dumps(held, separators=(",", ":"))), "array<bigint>")
+    return lambda x: F.coalesce(F.getbit(F.get(table_, F.floor(bit(x) / 64).cast("int")), (bit(x) % 64).cast("int")) == 1, F.lit(False))
+
+
+def marked(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """``docs`` with ``_good``: 1 where the doc_id is in ``trusted`` (distinct), else 0.
+
+    Only rows that :func:`maybe_in` lets through are joined, so the texts of most others are never moved; the join then decides.
+    The plan is the same at every size.
+    """
+    kind = docs.select("doc_id").union(trusted.select("doc_id")).schema["doc_id"].dataType  # as the join would compare them
+    maybe = maybe_in(trusted.select(F.col("doc_id").cast(kind).alias("doc_id")))(F.col("doc_id").cast(kind))
+    ids = trusted.select(F.col("doc_id").alias("_id"), F.lit(1).alias("_one"))
+    some = docs.where(maybe).join(ids.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
+    return some.select(*docs.columns, F.coalesce("_one", F.lit(0)).alias("_good")).union(docs.where(~maybe).select("*", F.lit(0).alias("_good")))
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text") -> list[float]:
     """The log ratio of each bucket: counts of all of ``docs``, and of those whose doc_id is in ``trusted``."""
-    marked = trusted.select(F.col("doc_id").alias("_id"), F.lit(1).alias("_good"))
-    d = docs.join(marked, F.col("doc_id") == F.col("_id"), "left")  # broadcast only while Spark's size threshold allows it
-    counts = d.select(F.explode(grams(text)).alias("b"), F.coalesce(F.col("_good"), F.lit(0)).alias("g")).groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("g").alias("g"))
+    d = marked(docs, trusted)
+    counts = d.select(F.explode(grams(text)).alias("b"), F.col("_good").alias("g")).groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("g").alias("g"))
     raw, good = [0] * BUCKETS, [0] * BUCKETS
     for b, n, g in counts.collect():  # at most BUCKETS rows
         raw[b - 1], good[b - 1] = n, g
